@@ -230,12 +230,16 @@ class FingerprintIndex:
         return self._read(self.shared).groupBy("fp").agg(F.max("n").alias("n"))
 
     def candidate_filter(self, limit: int = BROADCAST_BYTES):
-        """(sorted fingerprints or None beyond ``limit`` bytes, windows to expect)."""
+        """(sorted 32-bit hashes of the fingerprints, or None beyond ``limit`` bytes; windows to expect).
+
+        A few fingerprints that occur once share a hash with others; their
+        windows are candidates too and fail the verification.
+        """
         found = self.candidates()
         rows, places = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if rows * 8 > limit:
+        if rows * 4 > limit:
             return self.spark.sparkContext.broadcast(None), None
-        values = np.sort(np.array(found.select("fp").toPandas()["fp"], np.int64))
+        values = np.unique(_short(found.select("fp").toArrow().column("fp").to_numpy()))
         return self.spark.sparkContext.broadcast(values), int(places)
 
 
@@ -255,7 +259,7 @@ def repeated(docs: DataFrame, index: FingerprintIndex, copies, limit: int = BROA
                 continue
             w = Words([texts[k] for k in own], width)
             fp, _ = w.fingerprints()
-            chosen = np.flatnonzero(_member(fp.view(np.int64), known.value)) if known.value is not None else np.arange(len(fp))
+            chosen = np.flatnonzero(_member(_short(fp), known.value)) if known.value is not None else np.arange(len(fp))
             if not len(chosen):
                 continue
             h = w.windows(chosen)
@@ -265,7 +269,7 @@ def repeated(docs: DataFrame, index: FingerprintIndex, copies, limit: int = BROA
             lead = np.zeros(len(chosen), bool)
             lead[first] = True
             copied = np.array([marks[own[k]] in copies.value.first for k in range(len(own))], bool)[owner]
-            shard = (h[:, 0] % np.uint64(shards)).astype(np.int64)
+            shard = (mix64(fp[chosen]) % np.uint64(shards)).astype(np.int64)  # equal windows have equal fingerprints, and neighbours mostly share theirs
             # rows: settled windows go with an empty hash; leads of settled ones have starts of -1 (nothing to report back, counts as two)
             out: list[tuple] = []
             settled = np.flatnonzero(local & ~copied)
@@ -313,6 +317,10 @@ def docs_type(docs: DataFrame) -> pa.DataType:
     return to_arrow_type(docs.schema["doc_id"].dataType)
 
 
+def _short(fp: np.ndarray) -> np.ndarray:
+    return (mix64(fp.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
 def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(x), bool)
