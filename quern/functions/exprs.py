@@ -57,7 +57,7 @@ def ceil(a) -> Column:
 def sqrt(a) -> Column:
     """0.0 for negative values."""
     a = value(a).cast("double")
-    return F.when(a < 0, F.lit(0.0)).otherwise(F.sqrt(F.greatest(a, F.lit(0.0))))
+    return F.when(a < 0, F.lit(0.0)).otherwise(F.sqrt(a))
 
 
 def power(a, b) -> Column:

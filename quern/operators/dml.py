@@ -16,8 +16,8 @@ from quern.operators.setops import union_all
 
 
 def insert(df: DataFrame, new: DataFrame, now: str | None = None, project: str | None = None) -> DataFrame:
-    """Adds rows; an ``id``, ``createdAt`` and ``project`` are filled in where they are asked for and missing."""
-    if "id" in df.columns and "id" not in new.columns:
+    """Adds rows; a text ``id`` that is missing becomes a UUID, ``createdAt`` and ``project`` are filled in where they are asked for."""
+    if dict(df.dtypes).get("id") == "string" and "id" not in new.columns:
         new = new.withColumn("id", F.uuid())
     if now is not None:
         stamp = F.lit(now).cast("timestamp_ntz")

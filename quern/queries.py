@@ -609,9 +609,9 @@ def fts_scan_score(t):
     return search.scan_search(t.documents, "idiot", ["text"]).select("doc_id", "score")
 
 
-@query(_scan_sql(["thion", "onth"]) + " ORDER BY score DESC, doc_id LIMIT 25")
+@query(_scan_sql(["than", "the"]) + " ORDER BY score DESC, doc_id LIMIT 25")
 def fts_scan_terms(t):
-    return t.q("documents").search("Thion, onth", ["text"]).order_by("-score", "doc_id").limit(25).project("doc_id", "score")
+    return t.q("documents").search("Than, the", ["text"]).order_by("-score", "doc_id").limit(25).project("doc_id", "score")
 
 
 @query(f"SELECT doc_id, 10.0::DOUBLE AS score FROM (SELECT doc_id, {TOK} AS toks FROM documents) WHERE list_contains(toks, 'moron')")
@@ -619,9 +619,9 @@ def fts_index_score(t):
     return search.index_search(search.postings(t.documents, "doc_id", ["text"]), "doc_id", "moron")
 
 
-@query(f"SELECT doc_id, ((10.0 + 5.0) * 2 * 1.5)::DOUBLE AS score FROM (SELECT doc_id, {TOK} AS toks FROM documents) WHERE list_contains(toks, 'thion') AND list_contains(toks, 'the')")
+@query(f"SELECT doc_id, ((10.0 + 5.0) * 2 * 1.5)::DOUBLE AS score FROM (SELECT doc_id, {TOK} AS toks FROM documents) WHERE list_contains(toks, 'than') AND list_contains(toks, 'the')")
 def fts_index_title(t):
-    return search.index_search(search.postings(t.documents.withColumnRenamed("text", "title"), "doc_id", ["title"]), "doc_id", "thion the")
+    return search.index_search(search.postings(t.documents.withColumnRenamed("text", "title"), "doc_id", ["title"]), "doc_id", "than the")
 
 
 @query("SELECT doc_id, 20.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'and the')")
