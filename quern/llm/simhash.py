@@ -23,6 +23,7 @@ but is no component's name unless all its members are null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import as_bytes, checkpointed, partitions, prepare, runs, slices
+from quern.llm.common import MASK64, as_bytes, checkpointed, mix64, partitions, prepare, runs, slices
 
 SHINGLE = 3
 RADIUS = 2
@@ -57,11 +58,15 @@ def shingle_hashes(text: bytes, k: int = SHINGLE) -> list[int]:
 def fingerprints(texts: list[bytes], k: int = SHINGLE) -> np.ndarray:
     each = [shingle_hashes(t, k) for t in texts]
     n = np.array([len(h) for h in each], np.int64)
-    out = np.zeros(len(texts), np.uint64)
+    return _majority(np.array([h for hs in each for h in hs], np.uint64), n)
+
+
+def _majority(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of each group of n consecutive hashes, the bits that over half have; zero for empty groups."""
+    out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(n)
     if not len(some):
         return out
-    flat = np.array([h for hs in each for h in hs], np.uint64)
     starts = runs(n[some])[:-1]
     for bit in range(64):
         ones = np.add.reduceat((flat >> np.uint64(bit)) & np.uint64(1), starts)
@@ -69,6 +74,14 @@ def fingerprints(texts: list[bytes], k: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def wide_fingerprints(texts: list[bytes], k: int, parts: int = 4) -> np.ndarray:
+    """(texts, parts) fingerprints of 64 bits each, from as many mixings of the shingle hashes."""
+    each = [shingle_hashes(t, k) for t in texts]
+    n = np.array([len(h) for h in each], np.int64)
+    flat = np.array([h for hs in each for h in hs], np.uint64)
+    return np.column_stack([_majority(mix64(flat ^ np.uint64((0x9E3779B97F4A7C15 * (j + 1)) & MASK64)), n) for j in range(parts)])
+
+
 def with_fingerprint(docs: DataFrame, column: str = "fp", k: int = SHINGLE) -> DataFrame:
     """doc_id and the fingerprint as a signed 64-bit number."""
     prepare(docs.sparkSession)
@@ -246,8 +259,149 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (of repeated rows with it, the smallest text)."""
-    found = near_duplicates(docs, k, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+# Similarity beyond a few bits
+
+
+#: Words of a shingle, and the Jaccard likeness that makes a near copy.
+COPY_SHINGLE, SIMILARITY = 5, 0.8
+#: Samples of ``SAMPLE_BITS`` fingerprint bits; texts that agree on one whole sample are compared.
+SAMPLES, SAMPLE_BITS = 32, 18
+PARTS = 4
+
+
+def radius_for(similarity: float, bits: int = 64 * PARTS) -> int:
+    """Differing bits to allow: those expected at that likeness, and one standard deviation.
+
+    Shingle sets of Jaccard likeness s have a cosine of 2s / (1 + s), and a bit
+    differs with the angle's share of a half turn.
+    """
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+
+
+def _samples(prints: np.ndarray) -> np.ndarray:
+    """(n, SAMPLES) shard keys: the sample's number and its bits."""
+    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
+    r = np.random.default_rng(20)
+    order = np.concatenate([r.permutation(bits.shape[1]) for _ in range(-(-SAMPLES * SAMPLE_BITS // bits.shape[1]))])
+    weights = 1 << np.arange(SAMPLE_BITS, dtype=np.int64)
+    return np.column_stack([bits[:, order[j * SAMPLE_BITS : (j + 1) * SAMPLE_BITS]].astype(np.int64) @ weights + (j << SAMPLE_BITS) for j in range(SAMPLES)])
+
+
+def around_leaders(ids: list[int], values: list[int], radius: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(links, leaders): every value is linked to the leaders within the radius; one without any becomes a leader.
+
+    Leaders form the BK-tree, so a tight group of any size costs a search of
+    a small tree for each member, and no more than a few links.
+    """
+    tree, heads, out = BKTree([]), [], []
+    for i, v in zip(ids, values, strict=True):
+        near = tree.within(v, radius)
+        if near:
+            out += [(max(i, heads[j]), min(i, heads[j])) for j in near if i != heads[j]]
+        else:
+            tree.add(v)
+            heads.append(i)
+    return out, heads
+
+
+WIDE = [f"w{j}" for j in range(PARTS)]
+
+
+def _whole(frame: pd.DataFrame) -> list[int]:
+    words = [frame[c].to_numpy(np.int64).view(np.uint64).tolist() for c in WIDE]
+    return [sum(w << (64 * j) for j, w in enumerate(x)) for x in zip(*words, strict=True)]
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_SHINGLE) -> DataFrame:
+    """doc_id and component_id of every row, for copies of about that Jaccard likeness of k-word shingles.
+
+    Fingerprints have 64 * PARTS bits.  Likeness well below 1 differs in too
+    many of them for the blocks of ``links`` to tell shards apart, so shards
+    are samples of bits on which near copies probably agree; the recall of
+    the default samples is tested.  Within a task, and then within a shard,
+    fingerprints gather around leaders, so that a group of very many near
+    copies reaches a shard as a few leaders of each task.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    radius = radius_for(similarity)
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            f = wide_fingerprints(as_bytes(part.column("text")), k, PARTS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(f[:, j]) for j in range(PARTS))], names=["doc_id", *WIDE])
+
+    longs = [T.StructField(c, T.LongType()) for c in WIDE]
+    own = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prints, T.StructType([T.StructField("doc_id", T.LongType()), *longs])))
+    distinct = checkpointed(own.groupBy(*WIDE).agg(F.min("doc_id").alias("first")).where("first is not null"))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _joined_batches(batches):
+            rows = batch.to_pandas()
+            keys = _samples(rows[WIDE].to_numpy(np.int64).view(np.uint64))
+            values = None
+            for j in range(SAMPLES):
+                key, at = keys[:, j], np.arange(len(rows))
+                several = pd.Series(key).duplicated(keep=False).to_numpy()
+                lead, linked = [at[~several]], []
+                if several.any():
+                    values = values if values is not None else np.array(_whole(rows), object)
+                    first = rows["first"].to_numpy()
+                    for members in pd.Series(at[several]).groupby(key[several]).indices.values():
+                        members = at[several][members]
+                        links_, heads = around_leaders(first[members].tolist(), values[members].tolist(), radius)
+                        linked += links_
+                        place = dict(zip(first[members].tolist(), members.tolist(), strict=True))
+                        lead.append(np.array([place[h] for h in heads]))
+                lead = np.concatenate(lead)
+                yield pa.RecordBatch.from_arrays([pa.array(key[lead]), pa.array(rows["first"].to_numpy()[lead]), pa.nulls(len(lead), pa.int64()), *(pa.array(rows[c].to_numpy()[lead]) for c in WIDE)], names=["cell", "id", "to", *WIDE])
+                if linked:
+                    a, b = np.array(linked, np.int64).T
+                    blank = [pa.nulls(len(a), pa.int64())] * PARTS
+                    yield pa.RecordBatch.from_arrays([pa.array(a % 1009), pa.array(a), pa.array(b), *blank], names=["cell", "id", "to", *WIDE])
+
+    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        known = rows["to"].notna()
+        out = [rows.loc[known, ["id", "to"]].to_numpy(np.int64)]
+        rows = rows[~known.to_numpy()]
+        rows = rows[rows["cell"].duplicated(keep=False)].sort_values(["cell", "id"])
+        for _, group in rows.groupby("cell", sort=False):
+            found, _ = around_leaders(group["id"].tolist(), _whole(group), radius)
+            if found:
+                out.append(np.array(found, np.int64))
+        both = np.unique(np.concatenate(out), axis=0) if sum(map(len, out)) else np.zeros((0, 2), np.int64)
+        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+
+    cells = distinct.mapInArrow(gathered, T.StructType([T.StructField("cell", T.LongType()), T.StructField("id", T.LongType()), T.StructField("to", T.LongType()), *longs]))
+    many = max(partitions(spark), 1) * 16
+    bucket = F.pmod(F.xxhash64("cell"), F.lit(many)).cast("int")
+    found = components(cells.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(meet, "a long, b long").distinct())
+    named = distinct.join(found, distinct["first"] == found.node, "left").select(*WIDE, F.coalesce("root", "first").alias("component_id"))
+    return own.join(named, WIDE, "left").select("doc_id", "component_id")
+
+
+def _joined_batches(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+    """Batches put together up to about that many rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def keep_first(docs: DataFrame, similarity: float | None = None) -> DataFrame:
+    """One row of each component: that with the smallest doc_id.
+
+    Components are those of ``near_copies`` at the likeness given, or of
+    ``near_duplicates``.  Rows without a doc_id belong to no copy group that
+    has one and stay, each text once.
+    """
+    found = near_duplicates(docs) if similarity is None else near_copies(docs, similarity)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))

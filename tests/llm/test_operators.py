@@ -470,3 +470,34 @@ def test_gradients():
         down = loss()
         w[k] = old
         assert g[k] == pytest.approx((up - down) / 2e-5, abs=1e-6)
+
+
+def test_near_copies(spark):
+    """Copies with edits are found, others left alone, also where a third of all rows are near copies of one text."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("bcdfgklmnaeiou") for _ in range(6))
+    likeness = lambda a, b: len(a & b) / len(a | b)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    data, groups = [], {}
+    for g in range(60):
+        base = [word() for _ in range(r.randint(150, 400))]
+        for c in range(80 if g == 0 else 1 + g % 3):
+            w = list(base)
+            for _ in range(len(w) // 80 if c else 0):
+                w[r.randrange(len(w))] = word()
+            if c and likeness(shingles(w), shingles(base)) < 0.85:
+                continue
+            groups[len(data)] = g
+            data.append((len(data), " ".join(w)))
+    data += [(5000, None), (5001, ""), (None, data[0][1]), (5002, "a b"), (5003, "a c")]
+    df = spark.createDataFrame(data, DOCS)
+    got = dict(rows(simhash.near_copies(df), "doc_id", "component_id"))
+    first = {}
+    for i, g in groups.items():
+        first.setdefault(g, i)
+    assert np.mean([got[i] == first[g] for i, g in groups.items()]) >= 0.95
+    assert all(groups[got[i]] == g for i, g in groups.items())
+    assert (got[5000], got[5001], got[5002], got[5003], got[None]) == (5000, 5000, 5002, 5003, 0)
+    kept = [x["doc_id"] for x in simhash.keep_first(df, simhash.SIMILARITY).collect()]
+    assert len(kept) == len(set(kept)) and None in kept and set(first.values()) <= set(kept)
+    assert simhash.near_copies(df.where("doc_id < 0")).count() == 0
