@@ -103,3 +103,26 @@ def time_bin(c, unit: str) -> Column:
     if unit not in BINS:
         raise ValueError(f"no such bin: {unit}; one of {', '.join(BINS)}")
     return F.date_trunc(unit, column(c)).cast("timestamp_ntz")
+
+
+#: Seconds from 1970 to 2001, the origin of times as numbers.
+ORIGIN = 978_307_200
+
+
+def seconds_since_2001(c) -> Column:
+    """A time as a number, for comparison with numbers."""
+    return F.unix_micros(column(c).cast("timestamp")) / 1_000_000.0 - ORIGIN
+
+
+def time_since_2001(c) -> Column:
+    return F.timestamp_micros(((column(c).cast("double") + ORIGIN) * 1_000_000).cast("long")).cast("timestamp_ntz")
+
+
+def same_time(a, b) -> Column:
+    """Equal within a millisecond."""
+    return F.abs(seconds_since_2001(a) - seconds_since_2001(b)) < 0.001
+
+
+def truth(c) -> Column:
+    """Booleans as they are; numbers other than zero are true."""
+    return column(c).cast("double") != 0
