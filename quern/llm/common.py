@@ -29,8 +29,8 @@ MASK64 = (1 << 64) - 1
 def prepare(spark: SparkSession) -> None:
     """Session settings that the Python stages rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if spark.sparkContext.getConf().get("spark.checkpoint.dir") is None and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints/quern")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quern")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -267,6 +267,8 @@ COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Samples of ``SAMPLE_BITS`` fingerprint bits; texts that agree on one whole sample are compared.
 SAMPLES, SAMPLE_BITS = 32, 18
 PARTS = 4
+#: Members up to which all of a shard form the tree.
+SMALL = 64
 
 
 def radius_for(similarity: float, bits: int = 64 * PARTS) -> int:
@@ -305,6 +307,14 @@ def around_leaders(ids: list[int], values: list[int], radius: int) -> tuple[list
     return out, heads
 
 
+def joined_up(ids: list[int], values: list[int], radius: int) -> list[tuple[int, int]]:
+    """(larger id, smaller id): links that connect what is within the radius; of up to SMALL members all pairs count, of more those with leaders."""
+    if len(ids) > SMALL:
+        return around_leaders(ids, values, radius)[0]
+    of = dict(zip(values, ids, strict=True))  # distinct values
+    return [(max(of[a], of[b]), min(of[a], of[b])) for a, b in forest(values, radius)]
+
+
 WIDE = [f"w{j}" for j in range(PARTS)]
 
 
@@ -320,8 +330,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_S
     many of them for the blocks of ``links`` to tell shards apart, so shards
     are samples of bits on which near copies probably agree; the recall of
     the default samples is tested.  Within a task, and then within a shard,
-    fingerprints gather around leaders, so that a group of very many near
-    copies reaches a shard as a few leaders of each task.
+    the fingerprints of more than SMALL members gather around leaders, so that
+    a group of very many near copies reaches a shard as a few leaders of each
+    task.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -343,7 +354,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_S
             values = None
             for j in range(SAMPLES):
                 key, at = keys[:, j], np.arange(len(rows))
-                several = pd.Series(key).duplicated(keep=False).to_numpy()
+                several = pd.Series(key).groupby(key).transform("size").to_numpy() > SMALL
                 lead, linked = [at[~several]], []
                 if several.any():
                     values = values if values is not None else np.array(_whole(rows), object)
@@ -367,7 +378,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_S
         rows = rows[~known.to_numpy()]
         rows = rows[rows["cell"].duplicated(keep=False)].sort_values(["cell", "id"])
         for _, group in rows.groupby("cell", sort=False):
-            found, _ = around_leaders(group["id"].tolist(), _whole(group), radius)
+            found = joined_up(group["id"].tolist(), _whole(group), radius)
             if found:
                 out.append(np.array(found, np.int64))
         both = np.unique(np.concatenate(out), axis=0) if sum(map(len, out)) else np.zeros((0, 2), np.int64)
