@@ -115,7 +115,7 @@ def ids(df: DataFrame, key: str = "id") -> DataFrame:
     return df.select(key)
 
 
-def key_lookup(df: DataFrame, path: str, kind: str = "_blazeKind", key: str = "id") -> DataFrame:
+def key_lookup(df: DataFrame, path: str, kind: str = "kind", key: str = "id") -> DataFrame:
     """``namespace:id``."""
     namespace, _, value = path.partition(":")
     return df.where((F.lower(kind) == namespace.lower()) & (F.lower(F.col(key).cast("string")) == value.lower()))

@@ -74,6 +74,6 @@ def grouped(df: DataFrame, field: str, columns: Sequence[str], key: str = "key",
     return df.groupBy(F.col(field).alias(key)).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(rows))
 
 
-def workspace_summary(df: DataFrame, group: str, path: str, size: str, changed: str, suffix: str = ".swift") -> DataFrame:
+def workspace_summary(df: DataFrame, group: str, path: str, size: str, changed: str, suffix: str) -> DataFrame:
     """Files, files with the suffix, bytes, and the last change of each group."""
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col(path).endswith(suffix)).alias("source_files"), F.coalesce(F.sum(F.col(size).cast("double")), F.lit(0.0)).alias("total_size"), F.max(changed).alias("last_change"))

@@ -75,7 +75,7 @@ class Query:
     def recent(self, days: int, field: str = "createdAt", *, now: str) -> Query:
         return self._step(lambda df: df.where(predicates.recent(field, days, now)))
 
-    def namespace(self, name: str, field: str = "_blazeKind") -> Query:
+    def namespace(self, name: str, field: str = "kind") -> Query:
         """Rows of one kind; kinds are compared without case."""
         return self._step(lambda df: df.where(F.lower(field) == name.lower()))
 
