@@ -264,8 +264,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
 
 #: Words of a shingle, and the Jaccard likeness that makes a near copy.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
-#: Samples of ``SAMPLE_BITS`` fingerprint bits; texts that agree on one whole sample are compared.
-SAMPLES, SAMPLE_BITS = 32, 18
+#: Share of the pairs just at the likeness that should agree on a whole sample of fingerprint bits, and the least bits of a sample.
+RECALL, LEAST_BITS = 0.8, 16
 PARTS = 4
 #: Members up to which all of a shard form the tree.
 SMALL = 64
@@ -281,13 +281,39 @@ def radius_for(similarity: float, bits: int = 64 * PARTS) -> int:
     return round(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
-def _samples(prints: np.ndarray) -> np.ndarray:
-    """(n, SAMPLES) shard keys: the sample's number and its bits."""
+def samples_for(n: int, similarity: float) -> tuple[int, int]:
+    """(samples, bits of each) for n distinct fingerprints.
+
+    A sample has about log2(n) bits, so that unlike texts seldom share a
+    shard; their number keeps the recall at any n.  Both follow from n alone.
+    """
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(n, 2))))
+    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - agree)), bits
+
+
+def _samples(prints: np.ndarray, samples: int, size: int) -> np.ndarray:
+    """(n, samples) shard keys: the sample's number and its bits."""
     bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
     r = np.random.default_rng(20)
-    order = np.concatenate([r.permutation(bits.shape[1]) for _ in range(-(-SAMPLES * SAMPLE_BITS // bits.shape[1]))])
-    weights = 1 << np.arange(SAMPLE_BITS, dtype=np.int64)
-    return np.column_stack([bits[:, order[j * SAMPLE_BITS : (j + 1) * SAMPLE_BITS]].astype(np.int64) @ weights + (j << SAMPLE_BITS) for j in range(SAMPLES)])
+    order = np.concatenate([r.permutation(bits.shape[1]) for _ in range(-(-samples * size // bits.shape[1]))])
+    weights = 1 << np.arange(size, dtype=np.int64)
+    return np.column_stack([bits[:, order[j * size : (j + 1) * size]].astype(np.int64) @ weights + (j << size) for j in range(samples)])
+
+
+def _worth_a_tree(cell: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """(start, end) of the cells, in sorted order, that have a pair within the radius or over SMALL members."""
+    start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    end = np.append(start[1:], len(cell))
+    size = end - start
+    good = size > SMALL
+    group = np.repeat(np.arange(len(start)), size)
+    for lag in range(1, min(SMALL, int(size.max(initial=0)))):
+        at = np.flatnonzero((group[lag:] == group[:-lag]) & ~good[group[lag:]])
+        if len(at):
+            near = np.bitwise_count(words[at] ^ words[at + lag]).sum(1) <= radius
+            good[group[at[near]]] = True
+    return list(zip(start[good].tolist(), end[good].tolist(), strict=True))
 
 
 def around_leaders(ids: list[int], values: list[int], radius: int) -> tuple[list[tuple[int, int]], list[int]]:
@@ -308,7 +334,7 @@ def around_leaders(ids: list[int], values: list[int], radius: int) -> tuple[list
 
 
 def joined_up(ids: list[int], values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(larger id, smaller id): links that connect what is within the radius; of up to SMALL members all pairs count, of more those with leaders."""
+    """(larger id, smaller id) of links that connect what is within the radius; of up to SMALL members all pairs count, of more those with leaders."""
     if len(ids) > SMALL:
         return around_leaders(ids, values, radius)[0]
     of = dict(zip(values, ids, strict=True))  # distinct values
@@ -328,8 +354,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_S
 
     Fingerprints have 64 * PARTS bits.  Likeness well below 1 differs in too
     many of them for the blocks of ``links`` to tell shards apart, so shards
-    are samples of bits on which near copies probably agree; the recall of
-    the default samples is tested.  Within a task, and then within a shard,
+    are samples of bits on which near copies probably agree (``samples_for``).  Within a task, and then within a shard,
     the fingerprints of more than SMALL members gather around leaders, so that
     a group of very many near copies reaches a shard as a few leaders of each
     task.
@@ -346,13 +371,14 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_S
     longs = [T.StructField(c, T.LongType()) for c in WIDE]
     own = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prints, T.StructType([T.StructField("doc_id", T.LongType()), *longs])))
     distinct = checkpointed(own.groupBy(*WIDE).agg(F.min("doc_id").alias("first")).where("first is not null"))
+    samples, size = samples_for(distinct.count(), similarity)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _joined_batches(batches):
             rows = batch.to_pandas()
-            keys = _samples(rows[WIDE].to_numpy(np.int64).view(np.uint64))
+            keys = _samples(rows[WIDE].to_numpy(np.int64).view(np.uint64), samples, size)
             values = None
-            for j in range(SAMPLES):
+            for j in range(samples):
                 key, at = keys[:, j], np.arange(len(rows))
                 several = pd.Series(key).groupby(key).transform("size").to_numpy() > SMALL
                 lead, linked = [at[~several]], []
@@ -377,8 +403,10 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_S
         out = [rows.loc[known, ["id", "to"]].to_numpy(np.int64)]
         rows = rows[~known.to_numpy()]
         rows = rows[rows["cell"].duplicated(keep=False)].sort_values(["cell", "id"])
-        for _, group in rows.groupby("cell", sort=False):
-            found = joined_up(group["id"].tolist(), _whole(group), radius)
+        words = np.column_stack([rows[c].to_numpy(np.int64).view(np.uint64) for c in WIDE])
+        ids = rows["id"].to_numpy()
+        for a, b in _worth_a_tree(rows["cell"].to_numpy(), words, radius):
+            found = joined_up(ids[a:b].tolist(), [int.from_bytes(w.tobytes(), "little") for w in words[a:b]], radius)
             if found:
                 out.append(np.array(found, np.int64))
         both = np.unique(np.concatenate(out), axis=0) if sum(map(len, out)) else np.zeros((0, 2), np.int64)
