@@ -48,6 +48,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt anew by ``key`` if it is read in fewer parts than there are cores: one unsplittable file would keep one core busy."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if 2 * df.rdd.getNumPartitions() < cores else df
+
+
 def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text) only, with a null text as an empty one; other columns are pruned from the scan."""
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias(text))

@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bpe, chat, decontaminate, html_text, line_dedup, quality, simhash, spotsigs, substring_dedup, toxicity
-from quern.llm.common import read
+from quern.llm.common import read, spread
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"), digests=True)
+    return line_dedup.dedup_lines(documents(spark, sf_dir), digests=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return toxicity.scored(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.fingerprints(read(spark, sf_dir, "documents"))
+    return spotsigs.fingerprints(documents(spark, sf_dir))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,28 +30,28 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup_substrings(read(spark, sf_dir, "documents"), digests=True)
+    return substring_dedup.dedup_substrings(documents(spark, sf_dir), digests=True)
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extract(read(spark, sf_dir, "pages"))
+    return html_text.extract(spread(read(spark, sf_dir, "pages"), "page_id"))
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(read(spark, sf_dir, "documents"), digests=True)
+    return bpe.encode(documents(spark, sf_dir), digests=True)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return quality.scored(documents(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found = decontaminate.decontaminate(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
