@@ -75,8 +75,8 @@ def _majority(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(texts: list[bytes], k: int, parts: int = 4) -> np.ndarray:
-    """(texts, parts) fingerprints of 64 bits each, from as many mixings of the shingle hashes."""
-    each = [shingle_hashes(t, k) for t in texts]
+    """(texts, parts) fingerprints of 64 bits each, from as many mixings of the set of shingle hashes."""
+    each = [set(shingle_hashes(t, k)) for t in texts]
     n = np.array([len(h) for h in each], np.int64)
     flat = np.array([h for hs in each for h in hs], np.uint64)
     return np.column_stack([_majority(mix64(flat ^ np.uint64((0x9E3779B97F4A7C15 * (j + 1)) & MASK64)), n) for j in range(parts)])
@@ -265,20 +265,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
 #: Words of a shingle, and the Jaccard likeness that makes a near copy.
 COPY_SHINGLE, SIMILARITY = 5, 0.8
 #: Share of the pairs just at the likeness that should agree on a whole sample of fingerprint bits, and the least bits of a sample.
-RECALL, LEAST_BITS = 0.8, 16
+RECALL, LEAST_BITS = 0.9, 16
 PARTS = 4
 #: Members up to which all of a shard form the tree.
 SMALL = 64
+#: Leaders up to which a shard's members stay leaders unless they are closer to one than ``CLOSE``.
+LEADERS, CLOSE = 256, 0.9
 
 
-def radius_for(similarity: float, bits: int = 64 * PARTS) -> int:
-    """Differing bits to allow: those expected at that likeness, and one standard deviation.
+def radius_for(similarity: float, bits: int = 64 * PARTS, deviations: float = 2) -> int:
+    """Differing bits to allow: those expected at that likeness, and so many standard deviations.
 
     Shingle sets of Jaccard likeness s have a cosine of 2s / (1 + s), and a bit
     differs with the angle's share of a half turn.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
 
 
 def samples_for(n: int, similarity: float) -> tuple[int, int]:
@@ -316,29 +318,44 @@ def _worth_a_tree(cell: np.ndarray, words: np.ndarray, radius: int) -> list[tupl
     return list(zip(start[good].tolist(), end[good].tolist(), strict=True))
 
 
-def around_leaders(ids: list[int], values: list[int], radius: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(links, leaders): every value is linked to the leaders within the radius; one without any becomes a leader.
+def around_leaders(ids: list[int], values: list[int], radius: int, close: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(links, leaders): every value is linked to its nearest leader within the radius.
 
-    Leaders form the BK-tree, so a tight group of any size costs a search of
-    a small tree for each member, and no more than a few links.
+    A value that is within ``close`` bits of a leader becomes none; beyond
+    LEADERS leaders, one within the radius becomes none either.  Leaders form
+    the BK-tree, so a group of any size costs a search of a small tree and one
+    link for each member.
     """
-    tree, heads, out = BKTree([]), [], []
+    tree, heads = BKTree([]), []
     for i, v in zip(ids, values, strict=True):
-        near = tree.within(v, radius)
-        if near:
-            out += [(max(i, heads[j]), min(i, heads[j])) for j in near if i != heads[j]]
-        else:
+        if not tree.within(v, close if len(heads) < LEADERS else radius):
             tree.add(v)
             heads.append(i)
+    out = []
+    for i, v in zip(ids, values, strict=True):
+        near = [((tree.values[j] ^ v).bit_count(), heads[j]) for j in tree.within(v, radius) if heads[j] != i]
+        if near:
+            j = min(near)[1]
+            out.append((max(i, j), min(i, j)))
     return out, heads
 
 
-def joined_up(ids: list[int], values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(larger id, smaller id) of links that connect what is within the radius; of up to SMALL members all pairs count, of more those with leaders."""
-    if len(ids) > SMALL:
-        return around_leaders(ids, values, radius)[0]
-    of = dict(zip(values, ids, strict=True))  # distinct values
-    return [(max(of[a], of[b]), min(of[a], of[b])) for a, b in forest(values, radius)]
+def nearest_forest(ids: list[int], values: list[int], radius: int) -> list[tuple[int, int]]:
+    """(larger id, smaller id): a spanning forest of the links within the radius, the closest pairs first."""
+    tree = BKTree(values)
+    pairs = sorted(((values[j] ^ v).bit_count(), i, j) for i, v in enumerate(values) for j in tree.within(v, radius) if j < i)
+    part = list(range(len(ids)))
+    out = []
+    for _, i, j in pairs:
+        if part[i] != part[j]:
+            part = [part[j] if x == part[i] else x for x in part]
+            out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+    return out
+
+
+def joined_up(ids: list[int], values: list[int], radius: int, close: int) -> list[tuple[int, int]]:
+    """(larger id, smaller id) of links to verify: of up to SMALL members a spanning forest, of more those with leaders."""
+    return nearest_forest(ids, values, radius) if len(ids) <= SMALL else around_leaders(ids, values, radius, close)[0]
 
 
 WIDE = [f"w{j}" for j in range(PARTS)]
@@ -349,19 +366,53 @@ def _whole(frame: pd.DataFrame) -> list[int]:
     return [sum(w << (64 * j) for j, w in enumerate(x)) for x in zip(*words, strict=True)]
 
 
+def shingle_sets(docs: DataFrame, k: int = COPY_SHINGLE) -> DataFrame:
+    """id and the sorted distinct shingle hashes (32 bits each) of (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            sets = [np.unique(np.array(shingle_hashes(t, k), np.uint64).astype(np.uint32)).tobytes() for t in as_bytes(part.column("text"))]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "sets"])
+
+    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("sets", T.BinaryType())]))
+
+
+def jaccard(a: bytes, b: bytes) -> float:
+    """Likeness of two sorted sets of 32-bit hashes; two empty ones are alike."""
+    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
+
+
+def verified(found: DataFrame, docs: DataFrame, similarity: float, k: int = COPY_SHINGLE) -> DataFrame:
+    """The links (a, b) whose texts in ``docs`` (id, text; distinct ids) have at least that Jaccard likeness."""
+    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = checkpointed(shingle_sets(docs.join(ends, "id", "left_semi"), k))
+    pairs = found.join(sets.select(F.col("id").alias("a"), F.col("sets").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sets").alias("y")), "b")
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "x"):
+            good = [jaccard(x, y) >= similarity for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_SHINGLE) -> DataFrame:
-    """doc_id and component_id of every row, for copies of about that Jaccard likeness of k-word shingles.
+    """doc_id and component_id of every row, for copies of at least that Jaccard likeness of k-word shingles.
 
     Fingerprints have 64 * PARTS bits.  Likeness well below 1 differs in too
     many of them for the blocks of ``links`` to tell shards apart, so shards
-    are samples of bits on which near copies probably agree (``samples_for``).  Within a task, and then within a shard,
-    the fingerprints of more than SMALL members gather around leaders, so that
-    a group of very many near copies reaches a shard as a few leaders of each
-    task.
+    are samples of bits on which near copies probably agree
+    (``samples_for``).  Within a task, and then within a shard, the
+    fingerprints of more than SMALL members gather around leaders, so that a
+    group of very many near copies reaches a shard as a few leaders of each
+    task.  Links so found are candidates: each is kept only if the shingle
+    sets of its two texts have the likeness.
     """
     spark = docs.sparkSession
     prepare(spark)
-    radius = radius_for(similarity)
+    radius, close = radius_for(similarity), radius_for(CLOSE, deviations=0)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -387,7 +438,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_S
                     first = rows["first"].to_numpy()
                     for members in pd.Series(at[several]).groupby(key[several]).indices.values():
                         members = at[several][members]
-                        links_, heads = around_leaders(first[members].tolist(), values[members].tolist(), radius)
+                        links_, heads = around_leaders(first[members].tolist(), values[members].tolist(), radius, close)
                         linked += links_
                         place = dict(zip(first[members].tolist(), members.tolist(), strict=True))
                         lead.append(np.array([place[h] for h in heads]))
@@ -406,7 +457,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_S
         words = np.column_stack([rows[c].to_numpy(np.int64).view(np.uint64) for c in WIDE])
         ids = rows["id"].to_numpy()
         for a, b in _worth_a_tree(rows["cell"].to_numpy(), words, radius):
-            found = joined_up(ids[a:b].tolist(), [int.from_bytes(w.tobytes(), "little") for w in words[a:b]], radius)
+            found = joined_up(ids[a:b].tolist(), [int.from_bytes(w.tobytes(), "little") for w in words[a:b]], radius, close)
             if found:
                 out.append(np.array(found, np.int64))
         both = np.unique(np.concatenate(out), axis=0) if sum(map(len, out)) else np.zeros((0, 2), np.int64)
@@ -415,7 +466,10 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_S
     cells = distinct.mapInArrow(gathered, T.StructType([T.StructField("cell", T.LongType()), T.StructField("id", T.LongType()), T.StructField("to", T.LongType()), *longs]))
     many = max(partitions(spark), 1) * 16
     bucket = F.pmod(F.xxhash64("cell"), F.lit(many)).cast("int")
-    found = components(cells.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(meet, "a long, b long").distinct())
+    found = checkpointed(cells.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(meet, "a long, b long").distinct())
+    # of repeated ids one row's text, as ``distinct`` names texts by id
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    found = components(verified(found, texts, similarity, k).distinct())
     named = distinct.join(found, distinct["first"] == found.node, "left").select(*WIDE, F.coalesce("root", "first").alias("component_id"))
     return own.join(named, WIDE, "left").select("doc_id", "component_id")
 

@@ -1,6 +1,7 @@
 """The training-data operators against plain versions on small fixtures, with the awkward cases."""
 
 import hashlib
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -501,3 +502,36 @@ def test_near_copies(spark):
     kept = [x["doc_id"] for x in simhash.keep_first(df, simhash.SIMILARITY).collect()]
     assert len(kept) == len(set(kept)) and None in kept and set(first.values()) <= set(kept)
     assert simhash.near_copies(df.where("doc_id < 0")).count() == 0
+
+
+def test_near_copies_are_verified(spark):
+    """Every component hangs together by pairs of the likeness asked for, and texts somewhat below it stay apart."""
+    r = random.Random(4)
+    base = {}
+    for g in range(60):
+        words = [f"v{r.randrange(10**6)}" for _ in range(200)]
+        base[10 * g] = words
+        for i, edits in enumerate((2, 3, 8, 11, 14), 1):
+            other = list(words)
+            for at in r.sample(range(5, 195), edits):
+                other[at] = f"e{r.randrange(10**6)}"
+            base[10 * g + i] = other
+    texts = {i: " ".join(w) for i, w in base.items()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = dict(rows(simhash.near_copies(df), "doc_id", "component_id"))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in base.items()}
+    part = {i: i for i in base}
+    for g in range(60):
+        ids = [i for i in base if i // 10 == g]
+        for a, b in itertools.combinations(ids, 2):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = max(part[a], part[b]), min(part[a], part[b])
+                part = {i: new if p == old else p for i, p in part.items()}
+    assert not [i for i in base if got[i] != i and part[i] == i]
+    assert sum(got[i] != part[i] for i in base) <= 0.05 * sum(part[i] != i for i in base)
+    assert 0 < sum(part[i] != i for i in base) < 5 * 60
+
+
+def test_jaccard():
+    a, b = (np.array(x, np.uint32).tobytes() for x in ([1, 2, 3, 9], [2, 3, 9, 11]))
+    assert simhash.jaccard(a, b) == 0.6 and simhash.jaccard(b"", b"") == 1.0 and simhash.jaccard(a, b"") == 0.0
