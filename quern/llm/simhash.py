@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import MASK64, as_bytes, checkpointed, mix64, partitions, prepare, runs, slices
+from quern.llm.common import BROADCAST_BYTES, MASK64, as_bytes, checkpointed, mix64, partitions, prepare, runs, slices
 
 SHINGLE = 3
 RADIUS = 2
@@ -386,7 +386,9 @@ def jaccard(a: bytes, b: bytes) -> float:
 
 def verified(found: DataFrame, docs: DataFrame, similarity: float, k: int = COPY_SHINGLE) -> DataFrame:
     """The links (a, b) whose texts in ``docs`` (id, text; distinct ids) have at least that Jaccard likeness."""
-    ends = found.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = checkpointed(found.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    if ends.count() * 16 <= BROADCAST_BYTES:
+        ends = F.broadcast(ends)  # counted: one number a text; beyond that, texts are shuffled to their ids
     sets = checkpointed(shingle_sets(docs.join(ends, "id", "left_semi"), k))
     pairs = found.join(sets.select(F.col("id").alias("a"), F.col("sets").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sets").alias("y")), "b")
 
