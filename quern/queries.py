@@ -268,6 +268,13 @@ def join_sorted_merged(t):
     return Query(a).join(b, "k", "k", "full").order_by("-v", "k", "y").limit(150)
 
 
+@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v, a.x, b.y FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS v, c_name AS x FROM customer) a FULL JOIN (SELECT o_custkey AS k, o_totalprice AS v, o_orderkey AS y FROM orders) b ON a.k = b.k ORDER BY v DESC NULLS LAST, k, y")
+def join_sorted_merged_all(t):
+    a = t.customer.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")).alias("v"), F.col("c_name").alias("x"))
+    b = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("y"))
+    return Query(a).join(b, "k", "k", "full").order_by("-v", "k", "y")
+
+
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE c_custkey IS NOT NULL AND o_orderkey IS NOT NULL) AS complete, count(*) FILTER (WHERE o_orderkey IS NULL) AS left_only, count(*) FILTER (WHERE c_custkey IS NULL) AS right_only FROM (SELECT * FROM customer WHERE c_acctbal > 5000) FULL JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON c_custkey = o_custkey")
 def join_statistics(t):
     return joins.statistics(joins.pairs(t.customer.where("c_acctbal > 5000"), t.orders.where("o_totalprice > 200000"), "c_custkey", "o_custkey", "full"))
