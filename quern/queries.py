@@ -641,6 +641,12 @@ def fts_fuzzy(t):
     return search.advanced_search(t.documents.where("lang = 'en'"), "moron", ["text"], stemming=False, fuzzy=True, max_distance=1).select("doc_id", "score")
 
 
+# DuckDB's levenshtein counts bytes: in the SQL each character beyond ASCII is one that the term lacks, so an edit is a character on both sides
+@query(r"SELECT doc_id, CASE WHEN list_contains(ws, 'moron') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM (SELECT doc_id, string_split_regex(text, '\s+') AS ws FROM documents) WHERE len(list_filter(ws, lambda w: levenshtein(regexp_replace(w, '[^\x00-\x7F]', '?', 'g'), 'moron') <= 1)) > 0")
+def fts_fuzzy_all(t):
+    return search.advanced_search(t.documents, "moron", ["text"], stemming=False, fuzzy=True, max_distance=1).select("doc_id", "score")
+
+
 def _stem_sql(w: str) -> str:
     cases = " ".join(f"WHEN ends_with(lower({w}), '{s}') AND length({w}) > {len(s) + 2} THEN left(lower({w}), length({w}) - {len(s)})" for s in search.SUFFIXES)
     return f"CASE {cases} ELSE lower({w}) END"
@@ -651,6 +657,11 @@ def fts_stem(t):
     return search.advanced_search(t.documents.where("lang = 'en'"), "thions", ["text"]).select("doc_id", "score")
 
 
+@query(f"SELECT doc_id, 1.0::DOUBLE AS score FROM (SELECT doc_id, list_transform(string_split_regex(text, '\\s+'), lambda w: {_stem_sql('w')}) AS ws FROM documents) WHERE list_contains(ws, 'thion')")
+def fts_stem_all(t):
+    return search.advanced_search(t.documents, "thions", ["text"]).select("doc_id", "score")
+
+
 @query("SELECT item_id, substr(text, greatest(instr(lower(text), 'the') - 20, 1), least(instr(lower(text), 'the') + 22, length(text)) - greatest(instr(lower(text), 'the') - 20, 1) + 1) AS excerpt FROM benchmark WHERE contains(lower(text), 'the')")
 def fts_snippet(t):
     s = search.snippet(F.col("text"), "the", 20)
