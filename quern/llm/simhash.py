@@ -400,6 +400,93 @@ def verified(found: DataFrame, docs: DataFrame, similarity: float, k: int = COPY
     return pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
+def _open_members(cell: np.ndarray, part: np.ndarray, words: np.ndarray, radius: int) -> np.ndarray:
+    """Of rows sorted by cell, whether the row is within the radius of a row of its cell that is of another part."""
+    out = np.zeros(len(cell), bool)
+    start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    end = np.append(start[1:], len(cell))
+    size = end - start
+    for lag in range(1, min(SMALL, int(size.max(initial=0)))):
+        at = np.flatnonzero((cell[lag:] == cell[:-lag]) & (part[lag:] != part[:-lag]) & np.repeat(size <= SMALL, size)[lag:])
+        at = at[np.bitwise_count(words[at] ^ words[at + lag]).sum(1) <= radius]
+        out[at] = out[at + lag] = True
+    for a, b in zip(start[size > SMALL].tolist(), end[size > SMALL].tolist(), strict=True):
+        # rows of the commonest part meet only those of others
+        values, which, n = np.unique(part[a:b], return_inverse=True, return_counts=True)
+        for i in np.flatnonzero(which != n.argmax()).tolist() if len(values) > 1 else ():
+            near = (which != which[i]) & (np.bitwise_count(words[a:b] ^ words[a + i]).sum(1) <= radius)
+            if near.any():
+                out[a + i] = True
+                out[a:b] |= near
+    return out
+
+
+def alike_across(names: list[int], part: np.ndarray, words: np.ndarray, sets: list[bytes], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """(larger name, smaller name) of pairs of different parts within the radius whose shingle sets have the likeness.
+
+    All pairs are tested but those that the parts, or links found before, have joined.
+    """
+    each = [np.frombuffer(x, np.uint32) for x in sets]
+    edges = runs(np.array([len(x) for x in each], np.int64))
+    hashes, flat = np.unique(np.concatenate(each), return_inverse=True)
+    n, part, out = np.diff(edges), part.copy(), []
+    for i in range(len(names) - 1):
+        near = np.flatnonzero((part[i + 1 :] != part[i]) & (np.bitwise_count(words[i + 1 :] ^ words[i]).sum(1) <= radius)) + i + 1
+        if not len(near):
+            continue
+        own = np.zeros(len(hashes), np.int64)
+        own[flat[edges[i] : edges[i + 1]]] = 1
+        total = runs(own[flat])
+        both = total[edges[near + 1]] - total[edges[near]]
+        either = n[i] + n[near] - both
+        for j in near[np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similarity].tolist():
+            if part[i] != part[j]:
+                part[part == part[j]] = part[i]
+                out.append((max(names[i], names[j]), min(names[i], names[j])))
+    return out
+
+
+def remaining_links(named: DataFrame, docs: DataFrame, samples: int, size: int, radius: int, similarity: float, k: int) -> DataFrame:
+    """(a, b), b < a: parts of ``named`` (id, part, fingerprint) joined by a verified pair, of all pairs that share a shard and are within the radius.
+
+    No pair is left out for the size of its shard.  Shards are searched whole
+    by fingerprints; only members with such a pair meet again with their
+    shingle sets, each once a shard and not once a pair.
+    """
+    spark = named.sparkSession
+    fields = [T.StructField(c, T.LongType()) for c in ("cell", "id", "part", *WIDE)]
+    many = max(partitions(spark), 1) * 16
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pandas()
+            keys = _samples(rows[WIDE].to_numpy(np.int64).view(np.uint64), samples, size)
+            for j in range(samples):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, j]), *(batch.column(c) for c in ("id", "part", *WIDE))], names=["cell", "id", "part", *WIDE])
+
+    def arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return rows["cell"].to_numpy(), rows["part"].to_numpy(), np.column_stack([rows[c].to_numpy(np.int64).view(np.uint64) for c in WIDE])
+
+    def unsettled(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[["cell", "id", "part", *WIDE]]
+        rows = rows[rows["cell"].duplicated(keep=False)].sort_values("cell")
+        return rows[_open_members(*arrays(rows), radius)]
+
+    def tested(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["cell", "id"])
+        cell, part, words = arrays(rows)
+        sets = rows["sets"].tolist()
+        edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
+        out = [x for a, b in zip(edges, edges[1:], strict=False) for x in alike_across(part[a:b].tolist(), part[a:b], words[a:b], sets[a:b], radius, similarity)]
+        return pd.DataFrame(np.array(sorted(set(out)), np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    bucket = F.pmod(F.xxhash64("cell"), F.lit(many)).cast("int")
+    cells = named.select("id", "part", *WIDE).mapInArrow(dealt, T.StructType(fields)).withColumn("bucket", bucket)
+    members = checkpointed(cells.groupBy("bucket").applyInPandas(unsettled, T.StructType(fields)))
+    sets = shingle_sets(docs.join(members.select("id").distinct(), "id", "left_semi"), k)
+    return members.join(sets, "id").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(tested, "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_SHINGLE) -> DataFrame:
     """doc_id and component_id of every row, for copies of at least that Jaccard likeness of k-word shingles.
 
@@ -410,7 +497,11 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_S
     fingerprints of more than SMALL members gather around leaders, so that a
     group of very many near copies reaches a shard as a few leaders of each
     task.  Links so found are candidates: each is kept only if the shingle
-    sets of its two texts have the likeness.
+    sets of its two texts have the likeness.  That only saves work: then all
+    pairs within the radius in a whole shard are tested, but those that
+    verified links have joined (``remaining_links``).  So components are those
+    of all verified pairs that share a shard, whatever its size and however
+    rows fall into tasks.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -472,7 +563,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_S
     # of repeated ids one row's text, as ``distinct`` names texts by id
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     found = components(verified(found, texts, similarity, k).distinct())
-    named = distinct.join(found, distinct["first"] == found.node, "left").select(*WIDE, F.coalesce("root", "first").alias("component_id"))
+    parts = checkpointed(distinct.join(found, distinct["first"] == found.node, "left").select(F.col("first").alias("id"), F.coalesce("root", "first").alias("part"), *WIDE))
+    found = components(remaining_links(parts, texts, samples, size, radius, similarity, k))
+    named = parts.join(found, parts["part"] == found.node, "left").select(*WIDE, F.coalesce("root", "part").alias("component_id"))
     return own.join(named, WIDE, "left").select("doc_id", "component_id")
 
 

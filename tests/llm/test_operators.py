@@ -532,6 +532,32 @@ def test_near_copies_are_verified(spark):
     assert 0 < sum(part[i] != i for i in base) < 5 * 60
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_near_copies_of_large_shards(spark, parts):
+    """Components are those of all verified pairs in the shards, in groups of over SMALL members that are partly too unlike and under any partitioning."""
+    r = random.Random(9)
+    base = [f"v{r.randrange(10**6)}" for _ in range(200)]
+    data = []
+    for i in range(200):
+        words = list(base)
+        for at in r.sample(range(5, 195), r.randint(2, 12)):
+            words[at] = f"e{r.randrange(10**6)}"
+        data.append((i, " ".join(words)))
+    texts = [t.encode() for _, t in data]
+    prints = simhash.wide_fingerprints(texts, simhash.COPY_SHINGLE)
+    keys = simhash._samples(prints, *simhash.samples_for(len(data), simhash.SIMILARITY))
+    sets = [set(simhash.shingle_hashes(t, simhash.COPY_SHINGLE)) for t in texts]
+    radius, part = simhash.radius_for(simhash.SIMILARITY), list(range(len(data)))
+    for a, b in itertools.combinations(part[:], 2):
+        met = (keys[a] == keys[b]).any() and np.bitwise_count(prints[a] ^ prints[b]).sum() <= radius
+        if met and len(sets[a] & sets[b]) >= simhash.SIMILARITY * len(sets[a] | sets[b]):
+            old, new = max(part[a], part[b]), min(part[a], part[b])
+            part = [new if p == old else p for p in part]
+    df = spark.createDataFrame(data, DOCS).repartition(parts, "doc_id")
+    assert dict(rows(simhash.near_copies(df), "doc_id", "component_id")) == dict(enumerate(part))
+    assert 1 < len(set(part)) < len(part)
+
+
 def test_jaccard():
     a, b = (np.array(x, np.uint32).tobytes() for x in ([1, 2, 3, 9], [2, 3, 9, 11]))
     assert simhash.jaccard(a, b) == 0.6 and simhash.jaccard(b"", b"") == 1.0 and simhash.jaccard(a, b"") == 0.0
