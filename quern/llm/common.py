@@ -7,6 +7,7 @@ time however long the documents are.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,32 @@ def prepare(spark: SparkSession) -> None:
     """Session settings that the Python stages rely on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/quern")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        # one machine has no other folder to share than its own
+        spark.sparkContext.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new name for a folder of intermediate tables, in the place that driver and executors share."""
+    prepare(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate tables that nothing reads any longer."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, or with marks before it what no column of the frames is called."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -101,9 +127,50 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def rolling(h: np.ndarray, base: int, k: int) -> np.ndarray:
+    """Polynomial hashes of each k consecutive values, modulo 2^64."""
+    n = len(h)
+    if n < k:
+        return np.zeros(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers(base, n), dtype=np.uint64)])
+    return mix64((sums[k:] - sums[:-k]) * powers(pow(base, -1, 1 << 64), n - k + 1))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of a graph given as (a, b), b < a: alternating large-star and small-star steps.
+
+    Each step points nodes at smaller neighbours; links never grow in number,
+    and the steps end when a round changes nothing.  Work is shared by the
+    nodes' hash; a node's neighbours only meet as aggregates.
+    """
+    edges = checkpointed(edges)
+    if not edges.limit(1).count():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+    def mark(e: DataFrame):
+        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    before, now = None, mark(edges)
+    while before != now:
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a > b").distinct()
+        edges = checkpointed(small)
+        before, now = now, mark(edges)
+    return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+
+
 def remainder_of_id(doc_id: str, mod: int):
-    """crc32 of the id's decimal text modulo ``mod``: the fold that a contract names."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(mod))
+    """crc32 of the id's decimal text modulo ``mod``: the fold that a contract names; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(mod))
 
 
 def fold_of(ids: list, mod: int) -> list[int]:

@@ -23,7 +23,6 @@ but is no component's name unless all its members are null.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import BROADCAST_BYTES, MASK64, as_bytes, checkpointed, mix64, partitions, prepare, runs, slices
+from quern.llm import near_copies
+from quern.llm.common import as_bytes, checkpointed, components, partitions, prepare, runs, slices, unused
 
 SHINGLE = 3
 RADIUS = 2
@@ -74,14 +74,6 @@ def _majority(flat: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_fingerprints(texts: list[bytes], k: int, parts: int = 4) -> np.ndarray:
-    """(texts, parts) fingerprints of 64 bits each, from as many mixings of the set of shingle hashes."""
-    each = [set(shingle_hashes(t, k)) for t in texts]
-    n = np.array([len(h) for h in each], np.int64)
-    flat = np.array([h for hs in each for h in hs], np.uint64)
-    return np.column_stack([_majority(mix64(flat ^ np.uint64((0x9E3779B97F4A7C15 * (j + 1)) & MASK64)), n) for j in range(parts)])
-
-
 def with_fingerprint(docs: DataFrame, column: str = "fp", k: int = SHINGLE) -> DataFrame:
     """doc_id and the fingerprint as a signed 64-bit number."""
     prepare(docs.sparkSession)
@@ -189,9 +181,10 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         return pd.DataFrame(np.array(out, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
 
     # several shards a group, so that small ones don't cost a call each
-    many = max(partitions(spark), 1) * 16
-    cell = F.pmod(F.xxhash64("block", "value", "part", "rest"), F.lit(many)).cast("int")
-    return members.withColumn("cell", cell).groupBy("cell").applyInPandas(search, "a long, b long").distinct()
+    many = partitions(spark)
+    cell = F.pmod(F.xxhash64("block", "value", "part", "rest"), F.lit(many * 16)).cast("int")
+    # the rows are few bytes but much work: dealt by number, or they would be merged into one task for their size
+    return members.withColumn("cell", cell).repartition(many, "cell").groupBy("cell").applyInPandas(search, "a long, b long").distinct()
 
 
 def _parts(blocks: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
@@ -218,34 +211,6 @@ def _joined(column, spans: list[tuple[int, int]]):
     return out
 
 
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """(node, root) of a graph given as (a, b), b < a: alternating large-star and small-star steps.
-
-    Each step points nodes at smaller neighbours; links never grow in number,
-    and the steps end when a round changes nothing.  Work is shared by the
-    nodes' hash; a node's neighbours only meet as aggregates.
-    """
-    edges = checkpointed(edges)
-    if not edges.limit(1).count():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-    def digest(e: DataFrame):
-        return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    mark = digest(edges)
-    for _ in range(most):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a > b").distinct()
-        edges = checkpointed(small)
-        before, mark = mark, digest(edges)
-        if before == mark:
-            return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    raise RuntimeError("components did not settle")
-
-
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp, component_id of every row; component_id is the smallest doc_id that links reach."""
     prepare(docs.sparkSession)
@@ -259,337 +224,19 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     return own.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-# Similarity beyond a few bits
-
-
-#: Words of a shingle, and the Jaccard likeness that makes a near copy.
-COPY_SHINGLE, SIMILARITY = 5, 0.8
-#: Share of the pairs just at the likeness that should agree on a whole sample of fingerprint bits, and the least bits of a sample.
-RECALL, LEAST_BITS = 0.9, 16
-PARTS = 4
-#: Members up to which all of a shard form the tree.
-SMALL = 64
-#: Leaders up to which a shard's members stay leaders unless they are closer to one than ``CLOSE``.
-LEADERS, CLOSE = 256, 0.9
-
-
-def radius_for(similarity: float, bits: int = 64 * PARTS, deviations: float = 2) -> int:
-    """Differing bits to allow: those expected at that likeness, and so many standard deviations.
-
-    Shingle sets of Jaccard likeness s have a cosine of 2s / (1 + s), and a bit
-    differs with the angle's share of a half turn.
-    """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return round(bits * p + deviations * math.sqrt(bits * p * (1 - p)))
-
-
-def samples_for(n: int, similarity: float) -> tuple[int, int]:
-    """(samples, bits of each) for n distinct fingerprints.
-
-    A sample has about log2(n) bits, so that unlike texts seldom share a
-    shard; their number keeps the recall at any n.  Both follow from n alone.
-    """
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(n, 2))))
-    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
-    return math.ceil(math.log(1 - RECALL) / math.log(1 - agree)), bits
-
-
-def _samples(prints: np.ndarray, samples: int, size: int) -> np.ndarray:
-    """(n, samples) shard keys: the sample's number and its bits."""
-    bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-    r = np.random.default_rng(20)
-    order = np.concatenate([r.permutation(bits.shape[1]) for _ in range(-(-samples * size // bits.shape[1]))])
-    weights = 1 << np.arange(size, dtype=np.int64)
-    return np.column_stack([bits[:, order[j * size : (j + 1) * size]].astype(np.int64) @ weights + (j << size) for j in range(samples)])
-
-
-def _worth_a_tree(cell: np.ndarray, words: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(start, end) of the cells, in sorted order, that have a pair within the radius or over SMALL members."""
-    start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-    end = np.append(start[1:], len(cell))
-    size = end - start
-    good = size > SMALL
-    group = np.repeat(np.arange(len(start)), size)
-    for lag in range(1, min(SMALL, int(size.max(initial=0)))):
-        at = np.flatnonzero((group[lag:] == group[:-lag]) & ~good[group[lag:]])
-        if len(at):
-            near = np.bitwise_count(words[at] ^ words[at + lag]).sum(1) <= radius
-            good[group[at[near]]] = True
-    return list(zip(start[good].tolist(), end[good].tolist(), strict=True))
-
-
-def around_leaders(ids: list[int], values: list[int], radius: int, close: int) -> tuple[list[tuple[int, int]], list[int]]:
-    """(links, leaders): every value is linked to its nearest leader within the radius.
-
-    A value that is within ``close`` bits of a leader becomes none; beyond
-    LEADERS leaders, one within the radius becomes none either.  Leaders form
-    the BK-tree, so a group of any size costs a search of a small tree and one
-    link for each member.
-    """
-    tree, heads = BKTree([]), []
-    for i, v in zip(ids, values, strict=True):
-        if not tree.within(v, close if len(heads) < LEADERS else radius):
-            tree.add(v)
-            heads.append(i)
-    out = []
-    for i, v in zip(ids, values, strict=True):
-        near = [((tree.values[j] ^ v).bit_count(), heads[j]) for j in tree.within(v, radius) if heads[j] != i]
-        if near:
-            j = min(near)[1]
-            out.append((max(i, j), min(i, j)))
-    return out, heads
-
-
-def nearest_forest(ids: list[int], values: list[int], radius: int) -> list[tuple[int, int]]:
-    """(larger id, smaller id): a spanning forest of the links within the radius, the closest pairs first."""
-    tree = BKTree(values)
-    pairs = sorted(((values[j] ^ v).bit_count(), i, j) for i, v in enumerate(values) for j in tree.within(v, radius) if j < i)
-    part = list(range(len(ids)))
-    out = []
-    for _, i, j in pairs:
-        if part[i] != part[j]:
-            part = [part[j] if x == part[i] else x for x in part]
-            out.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
-    return out
-
-
-def joined_up(ids: list[int], values: list[int], radius: int, close: int) -> list[tuple[int, int]]:
-    """(larger id, smaller id) of links to verify: of up to SMALL members a spanning forest, of more those with leaders."""
-    return nearest_forest(ids, values, radius) if len(ids) <= SMALL else around_leaders(ids, values, radius, close)[0]
-
-
-WIDE = [f"w{j}" for j in range(PARTS)]
-
-
-def _whole(frame: pd.DataFrame) -> list[int]:
-    words = [frame[c].to_numpy(np.int64).view(np.uint64).tolist() for c in WIDE]
-    return [sum(w << (64 * j) for j, w in enumerate(x)) for x in zip(*words, strict=True)]
-
-
-def shingle_sets(docs: DataFrame, k: int = COPY_SHINGLE) -> DataFrame:
-    """id and the sorted distinct shingle hashes (32 bits each) of (id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            sets = [np.unique(np.array(shingle_hashes(t, k), np.uint64).astype(np.uint32)).tobytes() for t in as_bytes(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "sets"])
-
-    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("sets", T.BinaryType())]))
-
-
-def jaccard(a: bytes, b: bytes) -> float:
-    """Likeness of two sorted sets of 32-bit hashes; two empty ones are alike."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) + len(y) else 1.0
-
-
-def verified(found: DataFrame, docs: DataFrame, similarity: float, k: int = COPY_SHINGLE) -> DataFrame:
-    """The links (a, b) whose texts in ``docs`` (id, text; distinct ids) have at least that Jaccard likeness."""
-    ends = checkpointed(found.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    if ends.count() * 16 <= BROADCAST_BYTES:
-        ends = F.broadcast(ends)  # counted: one number a text; beyond that, texts are shuffled to their ids
-    sets = checkpointed(shingle_sets(docs.join(ends, "id", "left_semi"), k))
-    pairs = found.join(sets.select(F.col("id").alias("a"), F.col("sets").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("sets").alias("y")), "b")
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "x"):
-            good = [jaccard(x, y) >= similarity for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
-
-
-def _open_members(cell: np.ndarray, part: np.ndarray, words: np.ndarray, radius: int) -> np.ndarray:
-    """Of rows sorted by cell, whether the row is within the radius of a row of its cell that is of another part."""
-    out = np.zeros(len(cell), bool)
-    start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-    end = np.append(start[1:], len(cell))
-    size = end - start
-    for lag in range(1, min(SMALL, int(size.max(initial=0)))):
-        at = np.flatnonzero((cell[lag:] == cell[:-lag]) & (part[lag:] != part[:-lag]) & np.repeat(size <= SMALL, size)[lag:])
-        at = at[np.bitwise_count(words[at] ^ words[at + lag]).sum(1) <= radius]
-        out[at] = out[at + lag] = True
-    for a, b in zip(start[size > SMALL].tolist(), end[size > SMALL].tolist(), strict=True):
-        # rows of the commonest part meet only those of others
-        values, which, n = np.unique(part[a:b], return_inverse=True, return_counts=True)
-        for i in np.flatnonzero(which != n.argmax()).tolist() if len(values) > 1 else ():
-            near = (which != which[i]) & (np.bitwise_count(words[a:b] ^ words[a + i]).sum(1) <= radius)
-            if near.any():
-                out[a + i] = True
-                out[a:b] |= near
-    return out
-
-
-def alike_across(names: list[int], part: np.ndarray, words: np.ndarray, sets: list[bytes], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """(larger name, smaller name) of pairs of different parts within the radius whose shingle sets have the likeness.
-
-    All pairs are tested but those that the parts, or links found before, have joined.
-    """
-    each = [np.frombuffer(x, np.uint32) for x in sets]
-    edges = runs(np.array([len(x) for x in each], np.int64))
-    hashes, flat = np.unique(np.concatenate(each), return_inverse=True)
-    n, part, out = np.diff(edges), part.copy(), []
-    for i in range(len(names) - 1):
-        near = np.flatnonzero((part[i + 1 :] != part[i]) & (np.bitwise_count(words[i + 1 :] ^ words[i]).sum(1) <= radius)) + i + 1
-        if not len(near):
-            continue
-        own = np.zeros(len(hashes), np.int64)
-        own[flat[edges[i] : edges[i + 1]]] = 1
-        total = runs(own[flat])
-        both = total[edges[near + 1]] - total[edges[near]]
-        either = n[i] + n[near] - both
-        for j in near[np.where(either > 0, both / np.maximum(either, 1), 1.0) >= similarity].tolist():
-            if part[i] != part[j]:
-                part[part == part[j]] = part[i]
-                out.append((max(names[i], names[j]), min(names[i], names[j])))
-    return out
-
-
-def remaining_links(named: DataFrame, docs: DataFrame, samples: int, size: int, radius: int, similarity: float, k: int) -> DataFrame:
-    """(a, b), b < a: parts of ``named`` (id, part, fingerprint) joined by a verified pair, of all pairs that share a shard and are within the radius.
-
-    No pair is left out for the size of its shard.  Shards are searched whole
-    by fingerprints; only members with such a pair meet again with their
-    shingle sets, each once a shard and not once a pair.
-    """
-    spark = named.sparkSession
-    fields = [T.StructField(c, T.LongType()) for c in ("cell", "id", "part", *WIDE)]
-    many = max(partitions(spark), 1) * 16
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = batch.to_pandas()
-            keys = _samples(rows[WIDE].to_numpy(np.int64).view(np.uint64), samples, size)
-            for j in range(samples):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[:, j]), *(batch.column(c) for c in ("id", "part", *WIDE))], names=["cell", "id", "part", *WIDE])
-
-    def arrays(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return rows["cell"].to_numpy(), rows["part"].to_numpy(), np.column_stack([rows[c].to_numpy(np.int64).view(np.uint64) for c in WIDE])
-
-    def unsettled(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows[["cell", "id", "part", *WIDE]]
-        rows = rows[rows["cell"].duplicated(keep=False)].sort_values("cell")
-        return rows[_open_members(*arrays(rows), radius)]
-
-    def tested(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["cell", "id"])
-        cell, part, words = arrays(rows)
-        sets = rows["sets"].tolist()
-        edges = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])).tolist()
-        out = [x for a, b in zip(edges, edges[1:], strict=False) for x in alike_across(part[a:b].tolist(), part[a:b], words[a:b], sets[a:b], radius, similarity)]
-        return pd.DataFrame(np.array(sorted(set(out)), np.int64).reshape(-1, 2), columns=["a", "b"])
-
-    bucket = F.pmod(F.xxhash64("cell"), F.lit(many)).cast("int")
-    cells = named.select("id", "part", *WIDE).mapInArrow(dealt, T.StructType(fields)).withColumn("bucket", bucket)
-    members = checkpointed(cells.groupBy("bucket").applyInPandas(unsettled, T.StructType(fields)))
-    sets = shingle_sets(docs.join(members.select("id").distinct(), "id", "left_semi"), k)
-    return members.join(sets, "id").withColumn("bucket", bucket).groupBy("bucket").applyInPandas(tested, "a long, b long").distinct()
-
-
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = COPY_SHINGLE) -> DataFrame:
-    """doc_id and component_id of every row, for copies of at least that Jaccard likeness of k-word shingles.
-
-    Fingerprints have 64 * PARTS bits.  Likeness well below 1 differs in too
-    many of them for the blocks of ``links`` to tell shards apart, so shards
-    are samples of bits on which near copies probably agree
-    (``samples_for``).  Within a task, and then within a shard, the
-    fingerprints of more than SMALL members gather around leaders, so that a
-    group of very many near copies reaches a shard as a few leaders of each
-    task.  Links so found are candidates: each is kept only if the shingle
-    sets of its two texts have the likeness.  That only saves work: then all
-    pairs within the radius in a whole shard are tested, but those that
-    verified links have joined (``remaining_links``).  So components are those
-    of all verified pairs that share a shard, whatever its size and however
-    rows fall into tasks.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
-    radius, close = radius_for(similarity), radius_for(CLOSE, deviations=0)
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            f = wide_fingerprints(as_bytes(part.column("text")), k, PARTS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(f[:, j]) for j in range(PARTS))], names=["doc_id", *WIDE])
-
-    longs = [T.StructField(c, T.LongType()) for c in WIDE]
-    own = checkpointed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prints, T.StructType([T.StructField("doc_id", T.LongType()), *longs])))
-    distinct = checkpointed(own.groupBy(*WIDE).agg(F.min("doc_id").alias("first")).where("first is not null"))
-    samples, size = samples_for(distinct.count(), similarity)
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _joined_batches(batches):
-            rows = batch.to_pandas()
-            keys = _samples(rows[WIDE].to_numpy(np.int64).view(np.uint64), samples, size)
-            values = None
-            for j in range(samples):
-                key, at = keys[:, j], np.arange(len(rows))
-                several = pd.Series(key).groupby(key).transform("size").to_numpy() > SMALL
-                lead, linked = [at[~several]], []
-                if several.any():
-                    values = values if values is not None else np.array(_whole(rows), object)
-                    first = rows["first"].to_numpy()
-                    for members in pd.Series(at[several]).groupby(key[several]).indices.values():
-                        members = at[several][members]
-                        links_, heads = around_leaders(first[members].tolist(), values[members].tolist(), radius, close)
-                        linked += links_
-                        place = dict(zip(first[members].tolist(), members.tolist(), strict=True))
-                        lead.append(np.array([place[h] for h in heads]))
-                lead = np.concatenate(lead)
-                yield pa.RecordBatch.from_arrays([pa.array(key[lead]), pa.array(rows["first"].to_numpy()[lead]), pa.nulls(len(lead), pa.int64()), *(pa.array(rows[c].to_numpy()[lead]) for c in WIDE)], names=["cell", "id", "to", *WIDE])
-                if linked:
-                    a, b = np.array(linked, np.int64).T
-                    blank = [pa.nulls(len(a), pa.int64())] * PARTS
-                    yield pa.RecordBatch.from_arrays([pa.array(a % 1009), pa.array(a), pa.array(b), *blank], names=["cell", "id", "to", *WIDE])
-
-    def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        known = rows["to"].notna()
-        out = [rows.loc[known, ["id", "to"]].to_numpy(np.int64)]
-        rows = rows[~known.to_numpy()]
-        rows = rows[rows["cell"].duplicated(keep=False)].sort_values(["cell", "id"])
-        words = np.column_stack([rows[c].to_numpy(np.int64).view(np.uint64) for c in WIDE])
-        ids = rows["id"].to_numpy()
-        for a, b in _worth_a_tree(rows["cell"].to_numpy(), words, radius):
-            found = joined_up(ids[a:b].tolist(), [int.from_bytes(w.tobytes(), "little") for w in words[a:b]], radius, close)
-            if found:
-                out.append(np.array(found, np.int64))
-        both = np.unique(np.concatenate(out), axis=0) if sum(map(len, out)) else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
-
-    cells = distinct.mapInArrow(gathered, T.StructType([T.StructField("cell", T.LongType()), T.StructField("id", T.LongType()), T.StructField("to", T.LongType()), *longs]))
-    many = max(partitions(spark), 1) * 16
-    bucket = F.pmod(F.xxhash64("cell"), F.lit(many)).cast("int")
-    found = checkpointed(cells.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(meet, "a long, b long").distinct())
-    # of repeated ids one row's text, as ``distinct`` names texts by id
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    found = components(verified(found, texts, similarity, k).distinct())
-    parts = checkpointed(distinct.join(found, distinct["first"] == found.node, "left").select(F.col("first").alias("id"), F.coalesce("root", "first").alias("part"), *WIDE))
-    found = components(remaining_links(parts, texts, samples, size, radius, similarity, k))
-    named = parts.join(found, parts["part"] == found.node, "left").select(*WIDE, F.coalesce("root", "part").alias("component_id"))
-    return own.join(named, WIDE, "left").select("doc_id", "component_id")
-
-
-def _joined_batches(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Batches put together up to about that many rows."""
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield pa.Table.from_batches(held)
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held)
-
-
 def keep_first(docs: DataFrame, similarity: float | None = None) -> DataFrame:
-    """One row of each component: that with the smallest doc_id.
+    """One row of each component: that with the smallest doc_id, nulls last; of equal ids, that with the smallest text hash.
 
-    Components are those of ``near_copies`` at the likeness given, or of
-    ``near_duplicates``.  Rows without a doc_id belong to no copy group that
-    has one and stay, each text once.
+    Without ``similarity``, components are those of ``near_duplicates``.  With
+    it they are those of texts whose five-word shingles have that Jaccard
+    likeness, which differ in far more bits than a BK-tree can search:
+    ``near_copies`` finds them.
     """
-    found = near_duplicates(docs) if similarity is None else near_copies(docs, similarity)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(kept, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    if similarity is not None:
+        return near_copies.keep_first(docs, similarity)
+    key = unused("key", docs)
+    rows = docs.withColumn(key, near_copies.row_key())
+    found = checkpointed(near_duplicates(rows.select(F.struct("doc_id", key).alias("doc_id"), "text")))
+    order = lambda c: F.struct(F.col(f"{c}.doc_id").isNull().alias("none"), F.col(c).alias("row"))
+    first = found.groupBy("component_id").agg(F.min(order("doc_id")).alias("first")).select(F.col(f"first.row.{key}").alias(key))
+    return rows.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import BROADCAST_BYTES, as_bytes, mix64, partitions, prepare, runs, slices, table
+from quern.llm.common import BROADCAST_BYTES, as_bytes, mix64, partitions, prepare, rolling, runs, slices, table
 
 WIDTH = 35
 GRAM = 8
@@ -52,12 +52,6 @@ BASE_A, BASE_B, BASE_G = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4E
 RUN = "fp long, n long"
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 class Words:
     """The words of several texts, hashed; sequences never run across texts."""
 
@@ -74,19 +68,11 @@ class Words:
         self.at = np.flatnonzero(left >= width)
         self.owner = np.searchsorted(self.starts, self.at, "right") - 1
 
-    def rolling(self, h: np.ndarray, base: int, k: int) -> np.ndarray:
-        """Polynomial hashes of k consecutive values, modulo 2^64."""
-        n = len(h)
-        if n < k:
-            return np.zeros(0, np.uint64)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(base, n), dtype=np.uint64)])
-        return mix64((sums[k:] - sums[:-k]) * _powers(pow(base, -1, 1 << 64), n - k + 1))
-
     def fingerprints(self) -> tuple[np.ndarray, np.ndarray]:
         """The fingerprint of each window, and the hash of each sequence that is the least of some window."""
         if not len(self.at):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        grams = self.rolling(self.hash, BASE_G, self.gram)
+        grams = rolling(self.hash, BASE_G, self.gram)
         span = self.width - self.gram + 1
         least = _sliding(grams, span, np.minimum)
         valid = np.zeros(len(least), bool)
@@ -100,7 +86,7 @@ class Words:
         """(n, 2) hashes of the windows with these indexes in ``at``."""
         at = self.at[chosen]
         twice = mix64(self.hash ^ np.uint64(0x8EBC6AF09C88C6E3))
-        return np.column_stack([self.rolling(self.hash, BASE_A, self.width)[at], self.rolling(twice, BASE_B, self.width)[at]])
+        return np.column_stack([rolling(self.hash, BASE_A, self.width)[at], rolling(twice, BASE_B, self.width)[at]])
 
 
 def _sliding(x: np.ndarray, k: int, of) -> np.ndarray:
