@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -21,7 +23,7 @@ class Catalog:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     policies: dict[str, Policies] = field(default_factory=dict)
     current: str | None = None
-    _kept: dict[int, DataFrame] = field(default_factory=dict)
+    _kept: dict[int, tuple[DataFrame, float]] = field(default_factory=dict)
 
     def mount(self, name: str, table: DataFrame | str) -> DataFrame:
         """A DataFrame, or a folder of Parquet."""
@@ -55,15 +57,17 @@ class Catalog:
         rows = [(t, c, k) for t, df in self.tables.items() for c, k in df.dtypes]
         return self.spark.createDataFrame(rows, "table string, field string, type string")
 
-    def cached(self, df: DataFrame) -> DataFrame:
-        """The same plan is kept in executor storage once; ``clear`` lets go."""
-        key = df.semanticHash()
+    def cached(self, df: DataFrame, seconds: float = math.inf) -> DataFrame:
+        """The same plan is kept in executor storage once, and made anew when it is older than ``seconds``; ``clear`` lets go."""
+        key, now = df.semanticHash(), time.monotonic()
+        if key in self._kept and now - self._kept[key][1] >= seconds:
+            self._kept.pop(key)[0].unpersist()
         if key not in self._kept:
-            self._kept[key] = df.persist()
-        return self._kept[key]
+            self._kept[key] = (df.persist(), now)
+        return self._kept[key][0]
 
     def clear(self) -> None:
-        for df in self._kept.values():
+        for df, _ in self._kept.values():
             df.unpersist()
         self._kept.clear()
 

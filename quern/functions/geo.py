@@ -27,9 +27,21 @@ def in_box(lat, lon, min_lat: float, max_lat: float, min_lon: float, max_lon: fl
 
 
 def within_radius(lat, lon, to_lat: float, to_lon: float, metres: float) -> Column:
-    """The latitude band goes to the scan as a plain range; the distance decides."""
-    band = math.degrees(metres / EARTH_M) * 1.0001
-    return column(lat).between(to_lat - band, to_lat + band) & (haversine(lat, lon, to_lat, to_lon) <= metres)
+    """The box around the circle goes to the scan as plain ranges, by which sorted files are skipped; the distance decides."""
+    angle = metres / EARTH_M * 1.0001
+    band = math.degrees(angle)
+    near = column(lat).between(to_lat - band, to_lat + band)
+    if abs(to_lat) + band < 90 and angle < math.pi / 2:  # a circle that holds no pole lies between two meridians
+        side = math.degrees(math.asin(math.sin(angle) / math.cos(math.radians(to_lat)))) + 1e-9
+        if to_lon - side >= -180 and to_lon + side <= 180:
+            near = near & column(lon).between(to_lon - side, to_lon + side)
+    return near & (haversine(lat, lon, to_lat, to_lon) <= metres)
+
+
+def cell(lat, lon, degrees: float = 1.0) -> Column:
+    """The number of a grid cell: a column to sort or partition files by, as a spatial index would."""
+    across = math.ceil(360 / degrees)
+    return F.floor((column(lat) + 90) / degrees) * across + F.floor((column(lon) + 180) / degrees)
 
 
 def nearest(df: DataFrame, lat: str, lon: str, to_lat: float, to_lon: float, limit: int | None = None, tie: Sequence[str] = (), distance: str = "distance") -> DataFrame:

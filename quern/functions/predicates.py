@@ -107,6 +107,21 @@ def recent(c, days: int, now: str) -> Column:
     return column(c) > F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days))
 
 
+def row_test(f: Callable[[dict], bool], *fields: str) -> Column:
+    """A Python function of a row's named fields as a condition, for what Columns cannot say: Arrow batches, but every value passes through Python.
+
+    The outcome of a function that gives None is false.
+    """
+    import pandas as pd
+
+    def test(*columns: pd.Series) -> pd.Series:
+        rows = zip(*[[None if x is pd.NA or x is pd.NaT or x != x else x for x in c.astype(object)] for c in columns], strict=True)
+        return pd.Series([bool(f(dict(zip(fields, r, strict=True)))) for r in rows], dtype=bool)
+
+    test.__annotations__ = {"columns": pd.Series, "return": pd.Series}
+    return F.pandas_udf(test, "boolean")(*[F.col(c) for c in fields])
+
+
 #: What ``Query.where(field, <name>=value)`` accepts.
 BY_NAME: dict[str, Callable] = {
     "equals": equals, "not_equals": not_equals, "greater_than": greater, "less_than": less, "at_least": at_least, "at_most": at_most, "contains": contains, "among": among,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.predicates import column
@@ -56,8 +58,45 @@ def scan_search(df: DataFrame, query: str, fields: list[str], case_sensitive: bo
     return found.withColumn(score, total).drop(*[f"__tokens_{i}" for i in range(len(fields))])
 
 
+def search(df: DataFrame, query: str, fields: list[str] | None = None, case_sensitive: bool = False, min_length: int = MIN_LENGTH, index: Index | None = None, score: str = "score") -> DataFrame:
+    """By the index if there is one and case does not matter, else by a scan; without fields, those of the index or all string columns.
+
+    The rows of ``df`` decide: an index names rows by id and only those in
+    ``df`` are found.
+    """
+    if index is not None and not case_sensitive:
+        return df.join(index.search(query, fields, score), index.id_field)
+    return scan_search(df, query, fields or [c for c, t in df.dtypes if t == "string"], case_sensitive, min_length, score)
+
+
+@dataclass(frozen=True)
+class Index:
+    """Postings as Parquet, sorted by token, so that a search reads the row groups of its terms only."""
+
+    spark: SparkSession
+    path: str
+    id_field: str
+    fields: tuple[str, ...]
+
+    @classmethod
+    def build(cls, df: DataFrame, id_field: str, fields: list[str], path: str) -> Index:
+        """Writes the postings of all rows to ``path``."""
+        every = postings(df, id_field, fields)
+        every.repartitionByRange("token", id_field).sortWithinPartitions("token").write.mode("overwrite").parquet(path)
+        return cls(df.sparkSession, path, id_field, tuple(fields))
+
+    def search(self, query: str, fields: list[str] | None = None, score: str = "score") -> DataFrame:
+        every = self.spark.read.parquet(self.path)
+        return index_search(every.where(F.col("field").isin(*fields)) if fields else every, self.id_field, query, score)
+
+
+def smart_index(df: DataFrame, id_field: str, fields: list[str], path: str, threshold: int = 1000) -> Index | None:
+    """An index if there are at least ``threshold`` rows; a scan does for fewer."""
+    return Index.build(df, id_field, fields, path) if df.count() >= threshold else None
+
+
 def postings(df: DataFrame, id_field: str, fields: list[str]) -> DataFrame:
-    """(id, field, token): the inverted index as a table; write it partitioned or bucketed by token for repeated use."""
+    """(id, field, token): the inverted index as a table; ``Index.build`` writes it for repeated use."""
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.array_distinct(tokens(f, numbers=False)).alias("tokens")) for f in fields])
     return df.select(id_field, F.explode(each).alias("e")).select(id_field, "e.field", F.explode("e.tokens").alias("token"))
 
@@ -67,8 +106,12 @@ def index_search(index: DataFrame, id_field: str, query: str, score: str = "scor
     terms = list(dict.fromkeys(terms_of(query, numbers=False)))
     hit = index.where(F.col("token").isin(*terms) if terms else F.lit(False))
     points = 10.0 + F.when(F.col("field") == "title", 5.0).when(F.col("field") == "description", 3.0).otherwise(0.0)
-    grouped = hit.groupBy(id_field).agg(F.sum(points).alias("s"), F.count_distinct("token").alias("n"), F.max((F.col("field") == "title").cast("int")).alias("t"))
-    return grouped.where(F.col("n") == len(terms)).select(id_field, (F.col("s") * F.when(F.col("t") == 1, 1.5).otherwise(1.0)).alias(score))
+    # each term is a bit, so that one partial aggregate tells whether all are there
+    bits = F.lit(0).cast("long")
+    for k, term in enumerate(terms):
+        bits = F.when(F.col("token") == term, F.lit(1 << k).cast("long")).otherwise(bits)
+    grouped = hit.groupBy(id_field).agg(F.sum(points).alias("s"), F.bit_or(bits).alias("n"), F.max((F.col("field") == "title").cast("int")).alias("t"))
+    return grouped.where(F.col("n") == (1 << len(terms)) - 1).select(id_field, (F.col("s") * F.when(F.col("t") == 1, 1.5).otherwise(1.0)).alias(score))
 
 
 def stem(word: Column) -> Column:

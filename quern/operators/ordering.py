@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.operators.windows import numbered
+
 DEFAULT = 1000.0
 RANK = "orderingIndex"
 
@@ -38,7 +40,9 @@ def _set(df: DataFrame, key: str, at, to: float, rank: str) -> DataFrame:
 
 def enable(df: DataFrame, order: list[str], rank: str = RANK, partition: list[str] | None = None) -> DataFrame:
     """Ranks 1000, 1001, ... in the given order within each partition."""
-    w = W.partitionBy(*(partition or [])).orderBy(*order)
+    if not partition:
+        return numbered(df, [F.col(c) for c in order], rank).withColumn(rank, F.col(rank).cast("double") + (DEFAULT - 1))
+    w = W.partitionBy(*partition).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w).cast("double") + (DEFAULT - 1))
 
 

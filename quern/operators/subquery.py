@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 COMPARE: dict[str, Callable[[Column, Column], Column]] = {"greater": lambda a, b: a > b, "less": lambda a, b: a < b, "equal": lambda a, b: a == b}
 
 
-def in_subquery(df: DataFrame, field: str, sub: DataFrame, column: str) -> DataFrame:
-    return df.join(sub.select(F.col(column).alias("__in")), F.col(field) == F.col("__in"), "left_semi")
+def _values(df: DataFrame, field: str, sub: DataFrame, column: str | None) -> DataFrame:
+    """The subquery's values as ``__in``: those of one column, or of all columns that can be read as the field's type."""
+    if column is not None:
+        return sub.select(F.col(column).alias("__in"))
+    kind = df.schema[field].dataType
+    return sub.select(F.explode(F.array(*[F.col(c).try_cast(kind) for c in sub.columns])).alias("__in"))
 
 
-def not_in_subquery(df: DataFrame, field: str, sub: DataFrame, column: str, keep_missing: bool = False) -> DataFrame:
+def in_subquery(df: DataFrame, field: str, sub: DataFrame, column: str | None = None) -> DataFrame:
+    """IN; without ``column``, any column of the subquery may hold the value."""
+    return df.join(_values(df, field, sub, column), F.col(field) == F.col("__in"), "left_semi")
+
+
+def not_in_subquery(df: DataFrame, field: str, sub: DataFrame, column: str | None = None, keep_missing: bool = False) -> DataFrame:
     """NOT IN; the subquery's missing values are ignored, and rows with a missing value go unless ``keep_missing``."""
-    out = df.join(sub.select(F.col(column).alias("__in")), F.col(field) == F.col("__in"), "left_anti")
+    out = df.join(_values(df, field, sub, column), F.col(field) == F.col("__in"), "left_anti")
     return out if keep_missing else out.where(F.col(field).isNotNull())
 
 

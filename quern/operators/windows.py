@@ -1,8 +1,9 @@
 """Window functions over ROWS UNBOUNDED PRECEDING TO CURRENT ROW.
 
 ``order`` lists fields; a leading "-" means descending; missing values come
-last in both directions.  A window without a partition puts all rows in one
-task: use it on results that are small by construction.
+last in both directions.  Row numbers without a partition are counted by ranges
+(``numbered``).  Other functions without a partition put all rows in one task:
+use them on results that are small by construction.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.session import checkpointed
+
 
 def order_column(field: str) -> Column:
     return F.col(field[1:]).desc_nulls_last() if field.startswith("-") else F.col(field).asc_nulls_last()
@@ -63,9 +66,29 @@ class WindowFunction:
         raise ValueError(f"no such window function: {self.kind}")
 
 
+def numbered(df: DataFrame, order: Sequence[str | Column], alias: str = "row") -> DataFrame:
+    """Row numbers from 1 over all rows, without a task that holds them all.
+
+    Rows are dealt by ranges of the order, counted by range, numbered within
+    each, and the counts of the ranges before are added: one number a range
+    is all that the driver's side sees.
+    """
+    order = [order_column(f) if isinstance(f, str) else f for f in order]
+    dealt = checkpointed(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    counts = dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__range", (F.sum("__n").over(W.orderBy("__range")) - F.col("__n")).alias("__before"))
+    own = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn(alias, own).join(F.broadcast(before), "__range").withColumn(alias, F.col(alias) + F.col("__before")).drop("__range", "__before")
+
+
 def apply(df: DataFrame, functions: Sequence[WindowFunction]) -> DataFrame:
     """All functions in one projection; those with equal windows share a sort."""
-    return df.withColumns({f.alias: f.column() for f in functions}) if functions else df
+    whole = [f for f in functions if f.kind == "row_number" and not f.partition]
+    rest = {f.alias: f.column() for f in functions if f not in whole}
+    df = df.withColumns(rest) if rest else df
+    for f in whole:
+        df = numbered(df, f.order, f.alias)
+    return df.select(*[c for c in df.columns if c not in {f.alias for f in functions}], *[f.alias for f in functions]) if whole else df
 
 
 def moving(df: DataFrame, x: str, y: str, n: int, kind: str, alias: str) -> DataFrame:

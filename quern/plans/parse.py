@@ -138,10 +138,19 @@ def from_json(df: DataFrame, request: dict | str, policy: Column | None = None)
     return q.project(*r["project"]) if r.get("project") else q
 
 
-def shown(df: DataFrame, output: str = "table", most: int = 1000) -> str:
-    """The first ``most`` rows as a table, a JSON array or JSON lines: what a shell prints."""
+def lines(df: DataFrame, output: str = "table") -> DataFrame:
+    """A column ``line`` with each row as a table line or as JSON."""
     if output == "table":
-        rows = df.limit(most).collect()
-        return "\n".join(["\t".join(df.columns), *["\t".join("" if v is None else str(v) for v in r) for r in rows]])
-    lines = [r[0] for r in df.limit(most).select(F.to_json(F.struct("*"))).collect()]
-    return "\n".join(lines) if output == "ndjson" else "[" + ",".join(lines) + "]"
+        return df.select(F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]).alias("line"))
+    return df.select(F.to_json(F.struct("*")).alias("line"))
+
+
+def shown(df: DataFrame, output: str = "table", most: int | None = None) -> str:
+    """All rows (or the first ``most``) as a table, a JSON array or JSON lines: what a shell prints.
+
+    Rows are fetched partition by partition; the text is the caller's to hold.
+    """
+    rows = [r[0] for r in lines(df if most is None else df.limit(most), output).toLocalIterator()]
+    if output == "table":
+        return "\n".join(["\t".join(df.columns), *rows])
+    return "\n".join(rows) if output == "ndjson" else "[" + ",".join(rows) + "]"

@@ -6,7 +6,6 @@ column has an alias that the SQL repeats.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from quern.operators.series import Series, from_json as series_json
 from quern.operators.windows import WindowFunction, apply
 from quern.plans import parse, policy
 from quern.query import Query
+from quern.session import scratch
 from quern.sources import io
 from quern.streaming import live
 
@@ -54,12 +54,6 @@ def query(sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base}/quern-{uuid.uuid4().hex}"
-
-
 # flagship
 
 
@@ -261,15 +255,8 @@ def join_filter_pushdown(t):
     return q.project("o_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v, a.x, b.y FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS v, c_name AS x FROM customer WHERE c_custkey < 60) a FULL JOIN (SELECT o_custkey AS k, o_totalprice AS v, o_orderkey AS y FROM orders WHERE o_custkey BETWEEN 40 AND 90) b ON a.k = b.k ORDER BY v DESC NULLS LAST, k, y LIMIT 150")
-def join_sorted_merged(t):
-    a = t.customer.where("c_custkey < 60").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")).alias("v"), F.col("c_name").alias("x"))
-    b = t.orders.where("o_custkey between 40 and 90").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("y"))
-    return Query(a).join(b, "k", "k", "full").order_by("-v", "k", "y").limit(150)
-
-
 @query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.v, b.v) AS v, a.x, b.y FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 > 0 THEN c_acctbal END AS v, c_name AS x FROM customer) a FULL JOIN (SELECT o_custkey AS k, o_totalprice AS v, o_orderkey AS y FROM orders) b ON a.k = b.k ORDER BY v DESC NULLS LAST, k, y")
-def join_sorted_merged_all(t):
+def join_sorted_merged(t):
     a = t.customer.select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 3 > 0, F.col("c_acctbal")).alias("v"), F.col("c_name").alias("x"))
     b = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("y"))
     return Query(a).join(b, "k", "k", "full").order_by("-v", "k", "y")
@@ -605,6 +592,17 @@ def cte(t):
 TOK = "list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 2)"
 
 
+_INDEXES: dict[tuple[str, str, str], search.Index] = {}
+
+
+def _index(t: Tables, field: str) -> search.Index:
+    """The inverted index of the folder's documents, built once a session: searches read it, not the texts."""
+    key = (t.spark.sparkContext.applicationId, t.folder, field)
+    if key not in _INDEXES:
+        _INDEXES[key] = search.Index.build(t.documents.withColumnRenamed("text", field), "doc_id", [field], scratch(t.spark))
+    return _INDEXES[key]
+
+
 def _scan_sql(terms: list[str]) -> str:
     parts = [f"CASE WHEN list_count(list_filter(toks, lambda w: w = '{x}')) > 0 THEN 10.0 * list_count(list_filter(toks, lambda w: w = '{x}')) WHEN list_count(list_filter(toks, lambda w: contains(w, '{x}'))) > 0 THEN 5.0 * list_count(list_filter(toks, lambda w: contains(w, '{x}'))) WHEN contains(lower(text), '{x}') THEN 2.0 ELSE 0.0 END" for x in terms]
     conditions = " AND ".join(f"contains(lower(text), '{x}')" for x in terms)
@@ -623,12 +621,12 @@ def fts_scan_terms(t):
 
 @query(f"SELECT doc_id, 10.0::DOUBLE AS score FROM (SELECT doc_id, {TOK} AS toks FROM documents) WHERE list_contains(toks, 'moron')")
 def fts_index_score(t):
-    return search.index_search(search.postings(t.documents, "doc_id", ["text"]), "doc_id", "moron")
+    return _index(t, "text").search("moron")
 
 
 @query(f"SELECT doc_id, ((10.0 + 5.0) * 2 * 1.5)::DOUBLE AS score FROM (SELECT doc_id, {TOK} AS toks FROM documents) WHERE list_contains(toks, 'than') AND list_contains(toks, 'the')")
 def fts_index_title(t):
-    return search.index_search(search.postings(t.documents.withColumnRenamed("text", "title"), "doc_id", ["title"]), "doc_id", "than the")
+    return _index(t, "title").search("than the")
 
 
 @query("SELECT doc_id, 20.0::DOUBLE AS score FROM documents WHERE contains(lower(text), 'and the')")
@@ -636,14 +634,9 @@ def fts_phrase(t):
     return search.advanced_search(t.documents, '"and the"', ["text"], boosts={"text": 2.0}).select("doc_id", "score")
 
 
-@query("SELECT doc_id, CASE WHEN list_contains(ws, 'moron') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM (SELECT doc_id, string_split_regex(text, '\\s+') AS ws FROM documents WHERE lang = 'en') WHERE len(list_filter(ws, lambda w: levenshtein(w, 'moron') <= 1)) > 0")
-def fts_fuzzy(t):
-    return search.advanced_search(t.documents.where("lang = 'en'"), "moron", ["text"], stemming=False, fuzzy=True, max_distance=1).select("doc_id", "score")
-
-
 # DuckDB's levenshtein counts bytes: in the SQL each character beyond ASCII is one that the term lacks, so an edit is a character on both sides
 @query(r"SELECT doc_id, CASE WHEN list_contains(ws, 'moron') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM (SELECT doc_id, string_split_regex(text, '\s+') AS ws FROM documents) WHERE len(list_filter(ws, lambda w: levenshtein(regexp_replace(w, '[^\x00-\x7F]', '?', 'g'), 'moron') <= 1)) > 0")
-def fts_fuzzy_all(t):
+def fts_fuzzy(t):
     return search.advanced_search(t.documents, "moron", ["text"], stemming=False, fuzzy=True, max_distance=1).select("doc_id", "score")
 
 
@@ -652,13 +645,8 @@ def _stem_sql(w: str) -> str:
     return f"CASE {cases} ELSE lower({w}) END"
 
 
-@query(f"SELECT doc_id, 1.0::DOUBLE AS score FROM (SELECT doc_id, list_transform(string_split_regex(text, '\\s+'), lambda w: {_stem_sql('w')}) AS ws FROM documents WHERE lang = 'en') WHERE list_contains(ws, 'thion')")
-def fts_stem(t):
-    return search.advanced_search(t.documents.where("lang = 'en'"), "thions", ["text"]).select("doc_id", "score")
-
-
 @query(f"SELECT doc_id, 1.0::DOUBLE AS score FROM (SELECT doc_id, list_transform(string_split_regex(text, '\\s+'), lambda w: {_stem_sql('w')}) AS ws FROM documents) WHERE list_contains(ws, 'thion')")
-def fts_stem_all(t):
+def fts_stem(t):
     return search.advanced_search(t.documents, "thions", ["text"]).select("doc_id", "score")
 
 
@@ -922,3 +910,5 @@ def _folder(t: Tables, table: str) -> str:
     getattr(t, table).write.parquet(to)
     return to
 
+
+from quern import queries_service  # noqa: E402, F401  (registers its queries)

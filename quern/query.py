@@ -33,9 +33,11 @@ class Query:
     windows: tuple[windows.WindowFunction, ...] = ()
     combined: tuple[Step, ...] = ()
     order: tuple[Column, ...] = ()
+    sorted_by: tuple[str, ...] = ()
     skip: int = 0
     most: int | None = None
     columns: tuple[str | Column, ...] = ()
+    hidden: bool = False
 
     # filters
 
@@ -57,6 +59,10 @@ class Query:
             conditions.append(predicates.BY_NAME[name](field, value))
         return self._step(lambda df: df.where(predicates.all_of(*conditions) if len(conditions) > 1 else conditions[0]))
 
+    def where_row(self, f: Callable[[dict], bool], *fields: str) -> Query:
+        """A Python function of a row's named fields; Columns are faster where they can say it."""
+        return self._step(lambda df: df.where(predicates.row_test(f, *fields)))
+
     def where_any(self, *conditions: Column) -> Query:
         return self._step(lambda df: df.where(predicates.any_of(*conditions)))
 
@@ -81,10 +87,10 @@ class Query:
 
     # subqueries
 
-    def where_in(self, field: str, sub: Query | DataFrame, column: str) -> Query:
+    def where_in(self, field: str, sub: Query | DataFrame, column: str | None = None) -> Query:
         return self._step(lambda df: subquery.in_subquery(df, field, _df(sub), column))
 
-    def where_not_in(self, field: str, sub: Query | DataFrame, column: str, keep_missing: bool = False) -> Query:
+    def where_not_in(self, field: str, sub: Query | DataFrame, column: str | None = None, keep_missing: bool = False) -> Query:
         return self._step(lambda df: subquery.not_in_subquery(df, field, _df(sub), column, keep_missing))
 
     def where_exists(self, sub: Query | DataFrame) -> Query:
@@ -109,9 +115,9 @@ class Query:
 
     # search
 
-    def search(self, text: str, fields: list[str] | None = None, case_sensitive: bool = False, min_length: int = 2) -> Query:
-        """Adds ``score``; without fields, all string columns are searched."""
-        return self._step(lambda df: search.scan_search(df, text, fields or [c for c, t in df.dtypes if t == "string"], case_sensitive, min_length))
+    def search(self, text: str, fields: list[str] | None = None, case_sensitive: bool = False, min_length: int = 2, index: search.Index | None = None) -> Query:
+        """Adds ``score``.  An index is used if it is given and case does not matter; without fields, those of the index or all string columns are searched."""
+        return self._step(lambda df: search.search(df, text, fields, case_sensitive, min_length, index))
 
     def nearest(self, field: str, to: Sequence[float], limit: int | None = None, threshold: float | None = None, tie: Sequence[str] = ()) -> Query:
         return self._step(lambda df: vector.nearest(df, field, to, limit, threshold, tie))
@@ -181,7 +187,7 @@ class Query:
     def order_by(self, *fields: str, descending: bool = False) -> Query:
         """By fields; a leading "-" or ``descending`` reverses; missing values come last either way."""
         new = tuple(windows.order_column(f"-{f}" if descending and not f.startswith("-") else f) for f in fields)
-        return replace(self, order=(*self.order, *new))
+        return replace(self, order=(*self.order, *new), sorted_by=(*self.sorted_by, *[f.removeprefix("-") for f in fields]))
 
     def offset(self, n: int) -> Query:
         return replace(self, skip=max(0, n))
@@ -195,6 +201,10 @@ class Query:
             raise InvalidQuery("pages and sizes count from 1")
         return self.offset((number - 1) * size).limit(size)
 
+    def page_from_zero(self, number: int, size: int = 20) -> Query:
+        """Pages count from 0."""
+        return self.page(number + 1, size)
+
     def project(self, *columns: str | Column) -> Query:
         return replace(self, columns=(*self.columns, *columns))
 
@@ -205,7 +215,7 @@ class Query:
     # lowering
 
     def to_df(self) -> DataFrame:
-        df = visible(self.source)
+        df = self.source if self.hidden else visible(self.source)
         if self.policy is not None:
             df = df.where(self.policy)
         for s in self.steps:
@@ -219,6 +229,9 @@ class Query:
         df = windows.apply(df, self.windows)
         for s in self.combined:
             df = s(df)
+        for f in self.sorted_by:
+            if "." not in f and f not in df.columns:
+                raise InvalidQuery(f"no field {f} to sort by" + _suggested(f, df.columns))
         if self.order:
             df = df.orderBy(*self.order)
         if self.skip:
@@ -238,6 +251,17 @@ class Query:
     def rows(self) -> int:
         return self.to_df().count()
 
+    def lazy(self):
+        """Rows one by one, soft-deleted ones included, at most one sort key and no offset; one partition at a time is on the driver."""
+        if len(self.sorted_by) > 1 or self.skip:
+            raise InvalidQuery("a lazy scan takes one sort key and no offset")
+        return replace(self, hidden=True).to_df().toLocalIterator()
+
+    def in_batches(self, size: int, *order: str) -> DataFrame:
+        """The rows with the number of their batch of ``size``, from 0, in the order given; no task holds all rows."""
+        out = windows.numbered(self.to_df(), order, "batch")
+        return out.withColumn("batch", F.floor((F.col("batch") - 1) / size))
+
     def batches(self, size: int):
         """Lists of rows, fetched partition by partition; the driver holds one partition at a time."""
         held = []
@@ -255,5 +279,20 @@ class Query:
         return explain(self.to_df(), mode)
 
 
+def edits(a: str, b: str) -> int:
+    """Levenshtein distance, without case."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a.lower(), 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b.lower(), 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _suggested(name: str, known: Sequence[str]) -> str:
+    near = sorted((edits(name, k), k) for k in known if edits(name, k) <= 2)
+    return f"; did you mean {', '.join(k for _, k in near)}?" if near else ""
+
+
 def _df(x: Query | DataFrame) -> DataFrame:
     return x.to_df() if isinstance(x, Query) else x

@@ -6,6 +6,7 @@ explain query ... | fetchAll [--json|--ndjson] [limit N] | fetch ID | count
 insert JSON | update ID JSON | delete ID | softDelete ID        (tables that are stores)
 begin | commit | rollback
 dump FOLDER | restore NAME FOLDER | verify FOLDER
+policy add --preset NAME | policy enable | policy disable
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from quern.catalog import Catalog, get
 from quern.operators import dml
 from quern.plans import parse
+from quern.plans.policy import PRESETS, Policies
 from quern.query import Query
 from quern.sources import io
 from quern.sources.store import Store, Transaction
@@ -101,7 +103,7 @@ class Shell:
                 return self._query(rest)[0].explain()
             case "fetchAll":
                 output = "json" if "--json" in words else "ndjson" if "--ndjson" in words else "table"
-                most = int(words[words.index("limit") + 1]) if "limit" in words else 1000
+                most = int(words[words.index("limit") + 1]) if "limit" in words else None
                 return parse.shown(dml.visible(self.table), output, most)
             case "fetch":
                 return parse.shown(get(dml.visible(self.table), parse.literal(words[0]), self.key), "ndjson")
@@ -133,6 +135,14 @@ class Shell:
             case "restore":
                 self.catalog.mount(words[0], io.restore_dump(self.spark, words[1]))
                 return words[0]
+            case "policy":
+                # policy add --preset NAME | policy enable | policy disable
+                rules = self.catalog.policies.setdefault(self.catalog.current, Policies())
+                if words[0] == "add":
+                    rules.add(*PRESETS[words[-1]]())
+                else:
+                    rules.enabled = {"enable": True, "disable": False}[words[0]]
+                return f"{len(rules.rules)} policies, {'enabled' if rules.enabled else 'disabled'}"
             case "verify":
                 return "ok" if io.verify_dump(self.spark, words[0]) else "damaged"
         raise ValueError(f"no such command: {command}")

@@ -15,15 +15,39 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_csv(spark: SparkSession, path: str, header: bool = True, delimiter: str = ",", schema: str | None = None) -> DataFrame:
-    """Types are inferred (long, double, boolean, time, text) unless a schema is given, which saves a pass; rows with another number of fields are dropped."""
+    """Types are inferred (long, double, boolean, time, text) unless a schema is given, which saves a pass; rows with another number of fields are dropped (``csv_rejects`` tells which)."""
     reader = spark.read.option("header", header).option("sep", delimiter).option("mode", "DROPMALFORMED").option("enforceSchema", False)
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
-def import_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """An array of objects or one object a line; text in ISO form becomes time only with a schema."""
-    reader = spark.read.option("multiLine", True)
-    return (reader.schema(schema) if schema else reader).json(path)
+def _is_object(line: str) -> bool:
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
+
+
+def csv_rejects(spark: SparkSession, path: str, schema: str, header: bool = True, delimiter: str = ",") -> DataFrame:
+    """(line): what ``import_csv`` with this schema drops, of files whose fields have no line breaks."""
+    names = T.StructType.fromDDL(schema).names
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    rows = rows.where(F.col("value") != delimiter.join(names)) if header else rows
+    parsed = F.from_csv("value", f"{schema}, __line string", {"sep": delimiter, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__line"})
+    return rows.select(parsed.alias("r")).where("r.__line is not null").select(F.col("r.__line").alias("line"))
+
+
+def import_json(spark: SparkSession, path: str, schema: str | None = None, times: bool = False) -> DataFrame:
+    """An array of objects or one object a line; without a schema, ``times`` turns text columns whose values are all in ISO form into timestamps, at the cost of a pass."""
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    # a file whose first line is a whole object has one on each line; else values go over lines
+    reader = spark.read.option("multiLine", not (first is not None and _is_object(first[0])))
+    df = (reader.schema(schema) if schema else reader).json(path)
+    texts = [c for c, t in df.dtypes if t == "string"] if times and not schema else []
+    if not texts:
+        return df
+    iso = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    fits = df.agg(*[F.coalesce(F.bool_and(F.col(c).rlike(iso)), F.lit(False)).alias(c) for c in texts]).first()
+    return df.withColumns({c: F.col(c).try_cast("timestamp") for c in texts if fits[c]})
 
 
 def import_jdbc(spark: SparkSession, url: str, table: str, partition: str | None = None, low: int = 0, high: int = 0, parts: int = 1, batch: int = 1000, **options: str) -> DataFrame:
@@ -34,6 +58,48 @@ def import_jdbc(spark: SparkSession, url: str, table: str, partition: str | None
     return reader.load()
 
 
+# What SQLite's declared types hold.
+SQLITE_TYPES = (("INT", "long"), ("CHAR", "string"), ("CLOB", "string"), ("TEXT", "string"), ("BLOB", "binary"), ("REAL", "double"), ("FLOA", "double"), ("DOUB", "double"), ("BOOL", "boolean"))
+
+
+def import_sqlite(spark: SparkSession, path: str, table: str, batch: int = 1000, parts: int | None = None) -> DataFrame:
+    """A table of a SQLite file that all executors can open; ranges of row numbers are read at once, ``batch`` rows at a time, and NULL is a missing value."""
+    import sqlite3
+
+    name = '"' + table.replace('"', '""') + '"'
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        columns = db.execute(f"PRAGMA table_info({name})").fetchall()
+        low, high = db.execute(f"SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM {name}").fetchone()
+    kinds = {c[1]: next((k for mark, k in SQLITE_TYPES if mark in c[2].upper()), "string") for c in columns}
+    schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
+    chosen = ", ".join('"' + c.replace('"', '""') + '"' for c in kinds)
+    parts = parts or spark.sparkContext.defaultParallelism
+    width = -(-(high - low + 1) // parts) or 1
+    read = {"long": int, "double": float, "boolean": bool, "string": lambda v: v if isinstance(v, str) else str(v), "binary": lambda v: v if isinstance(v, bytes) else str(v).encode()}
+
+    def rows(ranges):
+        import pandas as pd
+
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+            for r in ranges:
+                for part in r["id"]:
+                    start = low + int(part) * width
+                    found = db.execute(f"SELECT {chosen} FROM {name} WHERE rowid >= ? AND rowid < ?", (start, start + width))
+                    while held := found.fetchmany(batch):
+                        yield pd.DataFrame({c: pd.Series([None if v is None else read[k](v) for v in values], dtype=object) for (c, k), values in zip(kinds.items(), zip(*held, strict=True), strict=True)})
+
+    return spark.range(0, parts, 1, parts).mapInPandas(rows, schema)
+
+
+def import_sqlite_script(spark: SparkSession, script: str, table: str, path: str) -> DataFrame:
+    """Runs SQLite statements into a new file at ``path``, which all executors can open, and reads one of its tables."""
+    import sqlite3
+
+    with sqlite3.connect(path) as db:
+        db.executescript(script)
+    return import_sqlite(spark, path, table)
+
+
 def import_sql(spark: SparkSession, script: str) -> DataFrame:
     """Statements separated by semicolons; the last one's result."""
     parts = [s for s in (x.strip() for x in script.split(";")) if s]

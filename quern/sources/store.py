@@ -1,8 +1,8 @@
 """Versioned tables: every change is a new folder of Parquet, made visible by one small marker file.
 
-A version's data is written first; its marker is created last and never
-overwritten, so readers see whole versions only and of two writers of the same
-version one fails.  Old versions stay readable until ``vacuum``.
+A version's data is written first; its marker, which names the folder, is
+created last and never overwritten, so readers see whole versions only and of
+two writers of the same version one fails.  Old versions stay readable until ``vacuum``.
 """
 
 from __future__ import annotations
@@ -31,13 +31,23 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def versions(self) -> list[tuple[int, str]]:
-        """(number, folder) of the versions made visible, in order."""
+    def _marks(self) -> dict[int, str]:
+        """Folder by number; empty where a writer ended before it named one."""
         fs, p = self._fs(f"{self.path}/versions")
         if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return sorted((int(n.split("-")[0]), n.split("-", 1)[1]) for n in names if "-" in n)
+            return {}
+        out = {}
+        for s in fs.listStatus(p):
+            name = s.getPath().getName()
+            if name.isdigit():
+                stream = fs.open(s.getPath())
+                out[int(name)] = bytes(stream.readAllBytes()).decode()
+                stream.close()
+        return out
+
+    def versions(self) -> list[tuple[int, str]]:
+        """(number, folder) of the versions made visible, in order."""
+        return sorted((n, name) for n, name in self._marks().items() if name)
 
     def version(self) -> int:
         return max((n for n, _ in self.versions()), default=0)
@@ -63,20 +73,29 @@ class Store:
             out = out.sortWithinPartitions(*self.partition_by, *self.sort_by)
         writer = out.write.partitionBy(*self.partition_by) if self.partition_by else out.write
         writer.parquet(f"{self.path}/data/{name}")
-        self._mark(base + 1, name)
-        return base + 1
-
-    def _mark(self, number: int, name: str) -> None:
-        if any(n == number for n, _ in self.versions()):
-            raise Conflict(f"version {number} of {self.path} has been made meanwhile")
-        # exclusive creation of one name a version decides between writers
-        fs, p = self._fs(f"{self.path}/locks/{number}")
+        return self._mark(base, name)
+
+    def _mark(self, base: int, name: str) -> int:
+        """Makes the folder the version after ``base``: the marker is itself the file that only one writer can make.
+
+        A writer that dies before it writes the folder's name leaves an empty
+        marker, which readers and later writers pass over.
+        """
+        marks = self._marks()
+        if max((n for n, held in marks.items() if held), default=0) != base:
+            raise Conflict(f"{self.path} has a version after {base} by now")
+        number = max(marks, default=0) + 1
+        fs, p = self._fs(f"{self.path}/versions/{number}")
         try:
-            fs.create(p, False).close()
+            stream = fs.create(p, False)
         except Exception as e:
             raise Conflict(f"version {number} of {self.path} has been made meanwhile") from e
-        fs, p = self._fs(f"{self.path}/versions/{number}-{name}")
-        fs.create(p, False).close()
+        stream.write(name.encode())
+        stream.close()
+        if max(self._marks()) != number:  # passed over while it was empty
+            fs.delete(p, False)
+            raise Conflict(f"{self.path} has a version after {number} by now")
+        return number
 
     def change(self, *steps: Callable[[DataFrame], DataFrame]) -> int:
         """Applies changes (see ``operators.dml``) to the last version and makes a new one."""
@@ -108,13 +127,8 @@ class Store:
         live = {name for _, name in every[-keep:]} if keep else set()
         for number, name in every:
             if name not in live:
-                fs, p = self._fs(f"{self.path}/versions/{number}-{name}")
+                fs, p = self._fs(f"{self.path}/versions/{number}")
                 fs.delete(p, False)
-        fs, p = self._fs(f"{self.path}/locks")
-        made = {str(n) for n, _ in every}
-        for s in fs.listStatus(p) if fs.exists(p) else []:
-            if s.getPath().getName() not in made:
-                fs.delete(s.getPath(), False)
         fs, p = self._fs(f"{self.path}/data")
         for s in fs.listStatus(p) if fs.exists(p) else []:
             if s.getPath().getName() not in live:
