@@ -11,7 +11,8 @@ The vocabulary file's path is a parameter.  Files of the kind with word ends
 
 Defined cases: a null or empty text has no tokens; strings of special tokens
 in a text are encoded as those tokens, as the file's library does; repeated
-rows are encoded alike; an empty table gives an empty result.
+rows are encoded alike, whatever their doc_id, null included; other columns
+are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -5,9 +5,11 @@ over a conversation's turns names each of its prefixes; a conversation whose
 whole hash is a proper prefix of a longer one is a snapshot and goes.  Of
 equal conversations the smallest conv_id stays.  What is left is rendered.
 
-All steps are DataFrame functions.  Prefix hashes are reduced to distinct
-values before they meet the conversations, so a first turn that a third of
-all conversations share is one row.
+All steps are DataFrame functions.  A prefix's hash is the exclusive or of
+128-bit hashes of its turns with their numbers, so it rolls on from turn to
+turn as a running aggregate, linear in a conversation's length.  Prefix hashes
+are reduced to distinct values before they meet the conversations, so a first
+turn that a third of all conversations share is one row.
 
 Defined cases: turns are ordered by turn, then role and text (nulls first);
 repeated rows count once; a null role or text is empty; a null turn comes
@@ -18,33 +20,36 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.common import checkpointed, prepare
 
+NAME = ["n", "a", "b"]
 
-def _step(before: Column, turn: Column) -> Column:
-    """The rolling hash after one more turn; lengths keep role and text apart."""
-    return F.sha2(F.concat_ws(":", before, F.char_length(turn["role"]).cast("string"), turn["role"], turn["text"]), 256)
 
-
-def gathered(conversations: DataFrame) -> DataFrame:
-    """conv_id, turns (in order) and prefixes (a hash for each number of turns)."""
+def turns_of(conversations: DataFrame) -> DataFrame:
+    """conv_id, role and text of each turn; its number n; a and b, the hash of the turns up to it; and whether it is the last."""
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    each = turns.groupBy("conv_id").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
-    start = F.array().cast("array<string>")
-    prefixes = F.aggregate("turns", start, lambda done, t: F.concat(done, F.array(_step(F.coalesce(F.get(done, F.size(done) - 1), F.lit("")), t))))
-    return each.withColumn("prefixes", prefixes)
+    # one exchange serves the distinct rows and the windows
+    turns = turns.repartition("conv_id").distinct()
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
+    own = lambda seed: F.xxhash64(F.lit(seed), "n", F.char_length("role"), "role", "text")
+    numbered = turns.withColumn("n", F.row_number().over(order)).withColumn("last", F.lead(F.lit(True)).over(order).isNull())
+    so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    return numbered.select("conv_id", "role", "text", "n", "last", *[F.bit_xor(own(k)).over(so_far).alias(name) for k, name in enumerate(NAME[1:])])
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
-    """conv_id and turns of the conversations that no longer one begins with; of equal ones the smallest conv_id."""
+    """conv_id and turns (role, text) of the conversations that no longer one begins with; of equal ones the smallest conv_id."""
     prepare(conversations.sparkSession)
-    each = checkpointed(gathered(conversations))
-    whole = each.select("conv_id", F.get("prefixes", F.size("prefixes") - 1).alias("whole")).groupBy("whole").agg(F.min("conv_id").alias("conv_id"))
-    inner = each.select(F.explode(F.slice("prefixes", F.lit(1), F.size("prefixes") - 1)).alias("whole")).distinct()
-    kept = whole.join(inner, "whole", "left_anti").select(F.col("conv_id").alias("__id"))
-    return each.join(kept, F.col("conv_id").eqNullSafe(F.col("__id")), "left_semi").select("conv_id", "turns")
+    each = checkpointed(turns_of(conversations))
+    whole = each.where("last").groupBy(*NAME).agg(F.min("conv_id").alias("conv_id"))
+    inner = each.where("not last").select(*NAME).distinct()
+    kept = whole.join(inner, NAME, "left_anti").select(F.col("conv_id").alias("kept"))
+    held = each.join(kept, F.col("conv_id").eqNullSafe(F.col("kept")), "left_semi")
+    turns = held.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("n", "role", "text"))).alias("turns"))
+    return turns.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def render(turns: Column) -> Column:

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to a Python worker at once (documents are a few kB on average).
@@ -168,6 +168,59 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits that tell rows of different ids or texts apart, nulls included."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.concat(F.lit("i"), F.col(doc_id).cast("string")), F.lit("n")), F.lit(":"), F.coalesce(F.md5(text), F.lit("null")))))
+
+
+def most_common(counts: DataFrame, column: str, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted values as uint64, their n) of (column, n): all with at least such an n that at most ``most`` are listed."""
+    counts = checkpointed(counts.withColumn("step", F.floor(F.log2("n") * 4).cast("int")))
+    least, total = None, 0
+    for step, rows in sorted(counts.groupBy("step").count().collect(), reverse=True):  # at most four rows for each doubling
+        total += rows
+        if total > most:
+            break
+        least = step
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    got = counts.where(F.col("step") >= least).select(column, "n").toArrow()
+    values, n = got.column(column).to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(values)
+    return values[order], n[order]
+
+
+#: Bytes of a bitmap that are made in one place.
+PIECE = 4096
+
+
+def bitmap_size(entries: int, limit: int) -> int:
+    """Bits, a power of two: 64 an entry, but at most ``limit`` bytes and at least one piece."""
+    size = PIECE * 8
+    while size < 64 * entries and size * 2 <= limit * 8:
+        size *= 2
+    return size
+
+
+def bitmap(bits: DataFrame, size: int) -> np.ndarray:
+    """The bits (column ``bit``) of a map of ``size`` bits, as bytes; pieces are made on executors, so the driver gets size / 8 bytes."""
+    span = PIECE * 8
+
+    def piece(key: tuple, rows: pa.Table) -> pa.Table:
+        out = np.zeros(span, bool)
+        out[rows.column("bit").to_numpy() % span] = True
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(size // 8, np.uint8)
+    for at, data in bits.distinct().withColumn("piece", F.floor(F.col("bit") / span)).groupBy("piece").applyInArrow(piece, "piece long, bits binary").collect():
+        out[at * PIECE : (at + 1) * PIECE] = np.frombuffer(bytes(data), np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def remainder_of_id(doc_id: str, mod: int):
     """crc32 of the id's decimal text modulo ``mod``: the fold that a contract names; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(mod))

@@ -12,8 +12,9 @@ adverts, forms and reader comments, in many arrangements and spellings.
 
 Defined cases: a null or empty html has an empty text; scripts, styles,
 comments and the head never become blocks; cut-off pages end where they end;
-unclosed and stray tags are tolerated; repeated rows are extracted alike; an
-empty table gives an empty result.
+unclosed and stray tags are tolerated; repeated rows are extracted alike,
+whatever their page_id or url, nulls included; other columns are ignored; an
+empty table gives an empty result.  All of a block counts, however long.
 """
 
 from __future__ import annotations
@@ -142,10 +143,10 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         x[i, [_slot("path", t, PATH_BITS) for t in set(b.path)]] = 1
         words = b.text.split()
-        for w in words[:40]:  # a block's measures see all of it; its words are told from the first ones
+        for w in words:
             k, sign = _word_slot(w)
-            x[i, k] += sign / (1 + min(len(words), 40)) ** 0.5
-        x[i, -MEASURES:] = (np.log1p(len(b.text)) / 6, min(1.0, b.linked / len(b.text)), i / n, float(b.text[-1] in ".!?…"), float("©" in b.text or "copyright" in b.text.lower()), sum(c.isdigit() for c in b.text[:200]) / min(200, len(b.text)))
+            x[i, k] += sign / (1 + len(words)) ** 0.5
+        x[i, -MEASURES:] = (np.log1p(len(b.text)) / 6, min(1.0, b.linked / len(b.text)), i / n, float(b.text[-1] in ".!?…"), float("©" in b.text or "copyright" in b.text.lower()), sum(map(str.isdigit, b.text)) / len(b.text))
     return x
 
 

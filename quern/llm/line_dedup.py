@@ -14,15 +14,16 @@ exceptions, so the decision on every indexed line is exact.  Beyond the
 bound, lines are joined to the exact table instead, with the same result.
 
 Defined cases: a null or empty text is one empty line; keys shorter than
-``min_length`` code points are never dropped; repeated rows count as one
-document each; an empty table gives an empty result.  Output columns take
-the place of input columns of the same name.
+``min_length`` code points are never dropped; rows of one doc_id that are
+inserted together count as one document, and so do all rows without one, but
+every row keeps a result of its own; an empty table gives an empty result.
+Output columns take the place of input columns of the same name; all others
+are kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import BROADCAST_BYTES, SPACES, as_bytes, checkpointed, partitions, prepare, slices, table
+from quern.llm.common import BROADCAST_BYTES, SPACES, as_bytes, checkpointed, partitions, prepare, slices, table, unused
 
 KEY_BYTES = 16
 SLOTS = 4
 MAX_KICKS = 500
+SALTS = 16
 COUNTS = "key binary, refs long"
 FILTERS = "shard int, buckets int, items long, slots binary"
 
@@ -175,19 +177,20 @@ class LineIndex:
     filters: DataFrame | None = None
 
     def _delta(self, docs: DataFrame) -> DataFrame:
-        """(key, refs) of the documents; summed within each slice before the shuffle."""
+        """(key, refs) of the documents: the number of distinct ids that hold a key."""
         shortest = self.min_length
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([("key", pa.binary()), ("refs", pa.int64())])
+        def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(batches):
-                held: Counter[bytes] = Counter()
-                for text in as_bytes(part.column("text")):
-                    held.update({line_key(x) for x in text.split(b"\n")})
-                keys = [k for k in held if code_points(k) >= shortest]
-                yield table(schema, [digest(k) for k in keys], [held[k] for k in keys])
+                rows, keys = [], []
+                for i, text in enumerate(as_bytes(part.column("text"))):
+                    own = [k for k in {line_key(x) for x in text.split(b"\n")} if code_points(k) >= shortest]
+                    keys += map(digest, own)
+                    rows += [i] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), part.column("doc_id").take(pa.array(rows, pa.int64()))], names=["key", "doc_id"])
 
-        return docs.select("text").mapInArrow(count, COUNTS).groupBy("key").agg(F.sum("refs").alias("refs"))
+        pairs = docs.select("doc_id", "text").mapInArrow(held, T.StructType([T.StructField("key", T.BinaryType()), docs.schema["doc_id"]]))
+        return pairs.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("refs"))
 
     def insert(self, docs: DataFrame) -> LineIndex:
         return self._updated(docs, 1)
@@ -285,10 +288,8 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_docs: int =
     docs = docs.drop("n_lines", "n_dropped", "kept_sha256")
     docs = docs.select("doc_id", "text") if digests else docs
     state = index.broadcastable(broadcast_limit)
-    if state is not None:
-        source = docs
-    else:
-        source = _with_hits(docs, index)
+    found = unused("hits", docs)
+    source = docs if state is not None else _with_hits(docs, index, found)
     inputs = [c for c in docs.columns if c != "text"]
     out = T.StructType([f for f in docs.schema if f.name != "text"] + ([] if digests else [T.StructField("text", T.StringType())]) + [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())] + ([T.StructField("kept_sha256", T.StringType())] if digests else []))
 
@@ -302,7 +303,7 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_docs: int =
                 drop = {k for k, m, y in zip(keys, marks, _accepts(filters, shards, marks), strict=True) if y and m not in wrong}
                 cut = [_cut(t, drop, shortest) for t in texts]
             else:
-                hits = [{bytes(x) for x in h or ()} for h in part.column("__hits").to_pylist()]
+                hits = [{bytes(x) for x in h or ()} for h in part.column(found).to_pylist()]
                 cut = []
                 for t, h in zip(texts, hits, strict=True):
                     cut.append(_cut(t, {k for k in {line_key(x) for x in t.split(b"\n")} if digest(k) in h} if h else set(), shortest))
@@ -317,20 +318,20 @@ def dedup_lines(docs: DataFrame, index: LineIndex | None = None, min_docs: int =
     return done if digests else done.select(*[c for c in docs.columns], "n_lines", "n_dropped")
 
 
-def _with_hits(docs: DataFrame, index: LineIndex) -> DataFrame:
-    """The other way: distinct (text, key) pairs joined to the exact table, then back to the rows by the text's hash."""
-    shortest = index.min_length
-    mark = F.sha2(F.coalesce("text", F.lit("")), 256)
+def _with_hits(docs: DataFrame, index: LineIndex, column: str) -> DataFrame:
+    """The other way: distinct (text, key) pairs joined to the exact table, then back to the rows by the text's hash.
+
+    Keys are salted by their text before the join, so that a line that a third of all documents hold does not gather.
+    """
+    shortest, mark = index.min_length, unused("mark", docs)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("__mark", pa.string()), ("key", pa.binary())])
+        schema = pa.schema([("mark", pa.string()), ("key", pa.binary())])
         for part in slices(batches):
             out = [(hashlib.sha256(t).hexdigest(), digest(k)) for t in set(as_bytes(part.column("text"))) for k in {line_key(x) for x in t.split(b"\n")} if code_points(k) >= shortest]
             yield table(schema, [m for m, _ in out], [k for _, k in out])
 
-    found = (
-        docs.select("text").mapInArrow(pairs, "__mark string, key binary").distinct()
-        .join(index.frequent(), "key", "left_semi")
-        .groupBy("__mark").agg(F.collect_list("key").alias("__hits"))
-    )
-    return docs.withColumn("__mark", mark).join(found, "__mark", "left").drop("__mark")
+    each = docs.select("text").mapInArrow(pairs, "mark string, key binary").distinct().withColumn("salt", F.pmod(F.xxhash64("mark"), F.lit(SALTS)))
+    frequent = index.frequent().withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    found = each.join(frequent, ["key", "salt"], "left_semi").groupBy("mark").agg(F.collect_list("key").alias(column)).withColumnRenamed("mark", mark)
+    return docs.withColumn(mark, F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, mark, "left").drop(mark)

@@ -7,12 +7,14 @@ sums; the document's quality is their mean weighted by line length, mapped
 to a probability.
 
 The field is trained on at most ``TRAINING_ROWS`` labelled documents outside
-the held-out fold, each line bearing its document's label; of a training
-document at most ``TRAINING_LINES`` lines count, those at even steps.  Scoring
-always takes every line.  Without both labels, ``prior`` weights serve.
+the held-out fold, each line bearing its document's label.  Training and
+scoring take every line of a document.  Without both labels, ``prior``
+weights serve.
 
 Defined cases: a null or empty text is one empty line, scored as such; every
-row is scored, repeated rows alike; an empty table gives an empty result.
+row is scored, repeated rows alike; a null doc_id is in the fold of the empty
+text and is never learned from; other columns are kept by ``score`` and
+ignored by ``scored``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from pyspark.sql import types as T
 
 from quern.llm.common import Adam, as_bytes, logistic, prepare, remainder_of_id, runs, slices, table, training_rows
 
-TRAINING_ROWS = 4_000
-TRAINING_LINES = 100
+#: Most labelled rows that the field is learned from.
+TRAINING_ROWS = 2_000
 ROUNDS = 80
 FOLDS, HELD_OUT = 4, 2
 GOOD_FROM = 0.7
@@ -63,16 +65,19 @@ def line_features(line: bytes, seen: set[bytes]) -> list[float]:
     ]
 
 
-def document_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines with those of their neighbours, line lengths, and lines by document."""
+def line_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Own features of all lines, line lengths, and lines by document."""
     rows, sizes, counts = [], [], []
     for t in texts:
         lines, seen = t.split(b"\n"), set()
         rows += [line_features(x, seen) for x in lines]
         sizes += [len(x) + 1 for x in lines]
         counts.append(len(lines))
-    own = np.array(rows, np.float64).reshape(-1, WIDTH)
-    counts = np.array(counts, np.int64)
+    return np.array(rows, np.float64).reshape(-1, WIDTH), np.array(sizes, np.float64), np.array(counts, np.int64)
+
+
+def with_neighbours(own: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Features of all lines with those of the lines before and after, and marks for first and last ones."""
     starts = runs(counts)
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
@@ -82,7 +87,13 @@ def document_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     edge[:, 2] = 1
     edge[starts[:-1], 0] = 1
     edge[starts[1:] - 1, 1] = 1
-    return np.hstack([own, before, after, edge]), np.array(sizes, np.float64), counts
+    return np.hstack([own, before, after, edge])
+
+
+def document_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all lines with those of their neighbours, line lengths, and lines by document."""
+    own, sizes, counts = line_table(texts)
+    return with_neighbours(own, counts), sizes, counts
 
 
 @dataclass
@@ -162,22 +173,22 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, folds:
     rows = training_rows(docs, labels, "quality", folds, held_out, limit).select("text", F.col("quality").alias("y"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("y", pa.int32()), ("x", pa.binary()), ("sizes", pa.binary())])
+        schema = pa.schema([("y", pa.int32()), ("own", pa.binary()), ("sizes", pa.binary())])
         for part in slices(batches):
-            x, sizes, counts = document_features(as_bytes(part.column("text")))
-            starts = runs(counts)
-            chosen = [a + np.unique(np.linspace(0, n - 1, min(n, TRAINING_LINES)).astype(int)) for a, n in zip(starts, counts, strict=False)]
-            yield table(schema, part.column("y").to_pylist(), [x[c].astype(np.float32).tobytes() for c in chosen], [sizes[c].tobytes() for c in chosen])
+            own, sizes, counts = line_table(as_bytes(part.column("text")))
+            edges = runs(counts).tolist()
+            spans = list(zip(edges, edges[1:], strict=False))
+            yield table(schema, part.column("y").to_pylist(), [own[a:b].astype(np.float32).tobytes() for a, b in spans], [sizes[a:b].astype(np.float32).tobytes() for a, b in spans])
 
-    got = rows.mapInArrow(measure, "y int, x binary, sizes binary").collect()  # at most TRAINING_ROWS rows of TRAINING_LINES lines
+    got = rows.mapInArrow(measure, "y int, own binary, sizes binary").collect()  # at most ``limit`` rows of 48 bytes a line
     got.sort(key=lambda r: (r[0], bytes(r[1])))
     y = np.array([r[0] > 0 for r in got], float)
     if not len(y) or y.min() == y.max():
         return prior()
-    sizes = [np.frombuffer(bytes(r[2])) for r in got]
+    sizes = [np.frombuffer(bytes(r[2]), np.float32) for r in got]
     counts = np.array([len(s) for s in sizes])
-    x = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float32).reshape(counts.sum(), -1).astype(np.float64)
-    return train(x, np.concatenate(sizes), counts, y)
+    own = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float32).reshape(-1, WIDTH).astype(np.float64)
+    return train(with_neighbours(own, counts), np.concatenate(sizes).astype(np.float64), counts, y)
 
 
 def score(docs: DataFrame, field: Field, column: str = "quality_score") -> DataFrame:

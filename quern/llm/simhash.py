@@ -9,16 +9,19 @@ parent, and a search follows only edges within the radius of its distance.
 A shard with more than ``SPLIT`` members is split again by the blocks of its
 remaining bits, so that no task meets an unbounded group.
 
-Trees are not broadcast: a corpus's fingerprints have no size bound.  Every
-shard goes to one task, which searches its tree for its own members and
-returns a spanning forest (at most one link a member), never all pairs.
+Trees are not broadcast: the fingerprints of all documents may not be gathered
+on the driver, which a broadcast would need, and have no size bound.  Every
+shard's tree is built where its members are, in one task, which searches it
+for its own members and returns a spanning forest (at most one link a
+member), never all pairs.
 Components come from alternating large-star and small-star steps over the
 distinct fingerprints that have links.
 
 Defined cases: a null or empty text, or one without words, has fingerprint
 zero, which is linked like any other; repeated rows have equal fingerprints;
 an empty table gives an empty result.  A null doc_id takes part in linking,
-but is no component's name unless all its members are null.
+but is no component's name unless all its members are null.  Other columns
+are kept by ``keep_first`` and ignored by ``near_duplicates``.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import near_copies
-from quern.llm.common import as_bytes, checkpointed, components, partitions, prepare, runs, slices, unused
+from quern.llm.common import as_bytes, checkpointed, components, partitions, prepare, row_key, runs, slices, unused
 
 SHINGLE = 3
 RADIUS = 2
@@ -235,7 +238,7 @@ def keep_first(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     if similarity is not None:
         return near_copies.keep_first(docs, similarity)
     key = unused("key", docs)
-    rows = docs.withColumn(key, near_copies.row_key())
+    rows = docs.withColumn(key, row_key())
     found = checkpointed(near_duplicates(rows.select(F.struct("doc_id", key).alias("doc_id"), "text")))
     order = lambda c: F.struct(F.col(f"{c}.doc_id").isNull().alias("none"), F.col(c).alias("row"))
     first = found.groupBy("component_id").agg(F.min(order("doc_id")).alias("first")).select(F.col(f"first.row.{key}").alias(key))

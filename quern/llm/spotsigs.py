@@ -6,16 +6,22 @@ an anchor too, so every text with a content word has a signature; a text
 without one has a single signature of its own.  A fingerprint is the sorted
 set of a text's signature hashes (32 bits each, as hex).
 
-Fingerprints are compared by Jaccard likeness.  ``similar_pairs`` partitions
-them by set length: sets whose lengths differ too much cannot be alike enough
-and never meet.  Within a range of lengths only the rarest signatures of each
-set, as many as one of them must be shared, are joined, and only pairs whose
-lengths fit are compared.
+Fingerprints are compared by Jaccard likeness.  ``similar_pairs``, which looks
+for alike pairs among all, partitions them by set length: sets whose lengths
+differ too much cannot be alike enough and never meet.  Within a range of
+lengths only the rarest signatures of each set, as many as one of them must
+be shared, are joined, and only pairs whose lengths fit are compared.
+``fingerprints`` is given its pairs (a text and its edited one, a text and the
+next) and has to tell their likeness however small, so there nothing is to be
+partitioned or pruned.
 
 Defined cases: a null text is empty; an empty text has the fingerprint of
 the empty string; equal texts have equal fingerprints and likeness 1;
-repeated rows are fingerprinted alike; a null doc_id sorts after all others
-(it is its own last document); an empty table gives an empty result.
+repeated rows are fingerprinted alike, and as rows of one id follow each other
+in the order of their texts, each is the next document of the one before; a
+null doc_id sorts after all others
+(it is its own last document); ids are numbers; other columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +37,9 @@ from quern.llm.common import BROADCAST_BYTES, checkpointed, prepare
 CHAIN = 2
 SIMILARITY = 0.8
 #: Consecutive ids that are ordered together.
-SPAN = 2048
+SPAN = 256
+#: Span heads that one task orders.
+ONE_TASK = 4096
 
 # Common words of English, German, French and Spanish.
 COMMON = (
@@ -53,7 +61,7 @@ def _let(value: Column, body) -> Column:
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """The sorted set of signature hashes (array<long>, 32 bits each) of a text that is not null."""
+    """The sorted set of signature hashes (array<int>: 32 bits, less 2^31) of a text that is not null."""
 
     def of(words: Column) -> Column:
         content = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: ~F.get(words, i).isin(*COMMON) & (F.get(words, i) != ""))
@@ -69,12 +77,12 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
 
 
 def _short(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(0xFFFFFFFF))
+    return (h.bitwiseAND(F.lit(0xFFFFFFFF)) - F.lit(1 << 31)).cast("int")
 
 
 def as_text(signs: Column) -> Column:
     """The set as a string: eight hex digits a signature, in order."""
-    return F.array_join(F.transform(signs, lambda s: F.lpad(F.lower(F.hex(s)), 8, "0")), "")
+    return F.array_join(F.transform(signs, lambda s: F.lpad(F.lower(F.hex(s.cast("long") + F.lit(1 << 31))), 8, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,8 +124,8 @@ def _span(column: str) -> Column:
 
 def _followers(heads: DataFrame, n: int) -> DataFrame:
     """(span, guest): for each span, the largest id of the next lower span that has one; for the lowest, that of the highest."""
-    if n <= SPAN:
-        # at most SPAN rows: one task may order them
+    if n <= ONE_TASK:
+        # at most ONE_TASK rows: one task may order them
         w = W.partitionBy(F.lit(0)).orderBy(F.col("span").desc())
         whole = W.partitionBy(F.lit(0))
         return heads.select("span", F.coalesce(F.lead("head").over(w), F.max("head").over(whole)).alias("guest"))

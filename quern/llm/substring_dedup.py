@@ -9,29 +9,35 @@ standing ones, which tells the fingerprints that occur more than once; runs
 are compacted into one when there are ``FAN_IN`` of them.
 
 A shared fingerprint only makes windows candidates.  They are verified by
-128-bit hashes of their whole word sequence, compared across all documents:
-a window is repeated if its sequence starts at two or more places.  Sequences
-that repeat within a batch of rows are settled there, and each such batch
-sends any sequence once, so a passage that a third of all documents share
-does not gather in one task.  Groups of equal texts are found first; one
-member of a group speaks for all.
-
-Both lists that narrow the second pass (candidate fingerprints, members of
-groups of equal texts) are broadcast only below ``limit`` bytes; without
-them every window is a candidate, with the same result.
+128-bit hashes of their whole word sequence: a window is repeated if its
+sequence starts at two or more places.  An index that ``keeps`` windows
+stores, beside each run and sorted like it, the hashes of its windows by
+fingerprint.  A later batch is then verified against those, and no earlier
+document is read again (``dedup_batch``).  ``dedup_substrings`` judges all
+documents of a table by each other; they are at hand, so it keeps none.
+
+Candidates are told by a bitmap of the shared fingerprints, of ``limit`` bytes
+at most: the fuller it is, the more windows are verified in vain, with the
+same result.  Sequences that repeat within a batch of rows are settled there,
+and each such batch sends any sequence once.  Windows go to shards by
+fingerprint; those of the commonest fingerprints are dealt by their own hash
+too, so that a passage that a third of all documents share does not gather in
+one task.  The number of shards follows from the windows that the index
+counted.
 
 Defined cases: a null or empty text has no words; a text shorter than a
 window keeps all words; repeated rows count as places of their own, so whole
-texts of a window or more that occur twice lose all words; an empty table
-gives an empty result.
+texts of a window or more that occur twice lose all words; rows are told
+apart by id and text, so ids may be null, repeated or of any type; columns of
+any name are kept, but for those that the result adds; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +46,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import BROADCAST_BYTES, as_bytes, mix64, partitions, prepare, rolling, runs, slices, table
+from quern.llm.common import BROADCAST_BYTES, as_bytes, bitmap, bitmap_size, checkpointed, marked, mix64, most_common, partitions, prepare, remove_folder, rolling, row_key, runs, shared_folder, slices, table, unused
 
 WIDTH = 35
 GRAM = 8
@@ -48,8 +54,13 @@ GRAM = 8
 FAN_IN = 4
 #: Windows that one task verifies.
 SHARD_WINDOWS = 1 << 21
+#: Occurrences of a fingerprint that are dealt together.
+DEALT = 256
+#: Starts of windows that stand for two places and have nothing to be told, and of windows of an earlier batch.
+SETTLED, EARLIER = -1, -2
 BASE_A, BASE_B, BASE_G = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
-RUN = "fp long, n long"
+RUN, KEPT = "fp long, n long", "fp long, windows binary"
+PAIR = [("a", np.uint64), ("b", np.uint64)]
 
 
 class Words:
@@ -116,39 +127,6 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-@dataclass(frozen=True)
-class Copies:
-    """Texts that occur more than once: their hash, and the smallest doc_id that holds them."""
-
-    first: dict[bytes, int | None] = field(default_factory=dict)
-
-    def speaks(self, mark: bytes, doc_id) -> bool:
-        return mark not in self.first or self.first[mark] == doc_id
-
-
-def text_mark(text: bytes) -> bytes:
-    return hashlib.md5(text, usedforsecurity=False).digest()
-
-
-def copies_of(docs: DataFrame, limit: int = BROADCAST_BYTES):
-    """A broadcast ``Copies``, empty where they take over ``limit`` bytes.
-
-    A text counts only if one row alone has its smallest doc_id: that row
-    then speaks for it.
-    """
-    many = (
-        docs.where(F.col("text").isNotNull())
-        .select(F.unhex(F.md5("text")).alias("mark"), "doc_id")
-        .groupBy("mark", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("mark").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "n")).alias("first"), F.count("doc_id").alias("ids"))
-        .where((F.col("n") > 1) & (F.col("ids") > 1) & F.col("first.doc_id").isNotNull() & (F.col("first.n") == 1))
-        .select("mark", F.col("first.doc_id").alias("doc_id"))
-    )
-    most = limit // 160
-    rows = many.limit(most + 1).collect()
-    return docs.sparkSession.sparkContext.broadcast(Copies({bytes(r[0]): r[1] for r in rows} if len(rows) <= most else {}))
-
-
 @dataclass(frozen=True)
 class FingerprintIndex:
     """Runs as folders of Parquet under ``path``; every change gives a new index and leaves the standing runs as they are."""
@@ -156,46 +134,51 @@ class FingerprintIndex:
     spark: SparkSession
     path: str
     width: int = WIDTH
+    keeps: bool = True
     runs: tuple[str, ...] = ()
     #: folders with the fingerprints that merge-joins found to occur more than once
     shared: tuple[str, ...] = ()
+    #: folders with the windows of each run
+    windows: tuple[str, ...] = ()
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str | None = None, width: int = WIDTH) -> FingerprintIndex:
-        prepare(spark)
-        base = path or f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/fingerprints-{uuid.uuid4().hex}"
-        return cls(spark, base, width)
+    def create(cls, spark: SparkSession, path: str | None = None, width: int = WIDTH, keeps: bool = True) -> FingerprintIndex:
+        return cls(spark, path or shared_folder(spark, "fingerprints"), width, keeps)
 
     def _write(self, df: DataFrame, kind: str, sort: bool = True) -> str:
-        to = f"{self.path}/{kind}-{uuid.uuid4().hex}"
-        (df.sortWithinPartitions("fp") if sort else df).write.parquet(to)
-        return to
+        to = shared_folder(self.spark, kind).rsplit("/", 1)[1]
+        (df.sortWithinPartitions("fp") if sort else df).write.parquet(f"{self.path}/{to}")
+        return f"{self.path}/{to}"
 
-    def _read(self, folders: tuple[str, ...]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*folders) if folders else self.spark.createDataFrame([], RUN)
+    def _read(self, folders: tuple[str, ...], schema: str = RUN) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def append(self, docs: DataFrame, copies=None) -> FingerprintIndex:
+    def append(self, docs: DataFrame) -> FingerprintIndex:
         """A new run of the documents' fingerprints, merge-joined with the standing runs."""
-        width = self.width
-        copies = copies or self.spark.sparkContext.broadcast(Copies())
+        width, keeps = self.width, self.keeps
 
         def stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            schema = pa.schema([("fp", pa.int64()), ("n", pa.int64())])
+            schema = pa.schema([("fp", pa.int64()), ("n", pa.int64())] + [("windows", pa.binary())] * keeps)
             for part in slices(batches):
-                once, more = [], []
-                for i, t in zip(part.column("doc_id").to_pylist(), as_bytes(part.column("text")), strict=True):
-                    mark = text_mark(t) if copies.value.first else b""
-                    if mark not in copies.value.first:
-                        once.append(t)
-                    elif copies.value.first[mark] == i:
-                        more.append(t)  # stands for two places at least
-                _, fp = Words(once, width).fingerprints()
-                _, fp2 = Words(more, width).fingerprints()
-                values, back = np.unique(np.concatenate([fp, fp2, fp2]), return_inverse=True)
-                yield table(schema, values.view(np.int64), np.bincount(back, minlength=len(values)).astype(np.int64))
-
-        new = docs.select("doc_id", "text").mapInArrow(stored, RUN).groupBy("fp").agg(F.sum("n").alias("n"))
-        run = self._write(new, "run")
+                w = Words(as_bytes(part.column("text")), width)
+                least, chosen = w.fingerprints()
+                values, n = np.unique(chosen, return_counts=True)
+                held = []
+                if keeps:
+                    # every stored sequence is the least of some window: one list of windows each
+                    pairs = np.unique(np.rec.fromarrays([least, *w.windows(np.arange(len(least))).T], names="fp,a,b"))
+                    cut = np.searchsorted(pairs["fp"], values)
+                    both = np.column_stack([pairs["a"], pairs["b"]])
+                    held = [[both[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(both)], strict=True)]]
+                yield table(schema, values.view(np.int64), n, *held)
+
+        found = docs.select("text").mapInArrow(stored, RUN + ", windows binary" * keeps)
+        windows = self.windows
+        if keeps:
+            # sorted files of each task, without a shuffle; the run is made from their small columns
+            windows = (*windows, self._write(found, "windows"))
+            found = self._read(windows[-1:], RUN)
+        run = self._write(found.groupBy("fp").agg(F.sum("n").alias("n")), "run")
         fresh = self._read((run,))
         if self.runs:
             old = self._read(self.runs).groupBy("fp").agg(F.sum("n").alias("old"))
@@ -203,69 +186,124 @@ class FingerprintIndex:
         else:
             hits = fresh
         shared = self._write(hits.where("n > 1"), "shared", sort=False)
-        out = replace(self, runs=(*self.runs, run), shared=(*self.shared, shared))
+        out = replace(self, runs=(*self.runs, run), shared=(*self.shared, shared), windows=windows)
         return out.compact() if len(out.runs) >= FAN_IN else out
 
     def compact(self) -> FingerprintIndex:
-        """One sorted run in place of all; the fingerprints known to be shared become one list too."""
+        """One sorted run in place of all; the lists of shared fingerprints and of windows become one too."""
         run = self._write(self._read(self.runs).groupBy("fp").agg(F.sum("n").alias("n")), "run")
         shared = self._write(self._read(self.shared).groupBy("fp").agg(F.max("n").alias("n")), "shared")
-        return replace(self, runs=(run,), shared=(shared,))
+        windows = (self._write(self._read(self.windows, KEPT).repartitionByRange("fp"), "windows"),) if self.windows else ()
+        return replace(self, runs=(run,), shared=(shared,), windows=windows)
 
     def candidates(self) -> DataFrame:
         return self._read(self.shared).groupBy("fp").agg(F.max("n").alias("n"))
 
-    def candidate_filter(self, limit: int = BROADCAST_BYTES):
-        """(sorted 32-bit hashes of the fingerprints, or None beyond ``limit`` bytes; windows to expect).
+    def earlier(self, found: DataFrame) -> DataFrame:
+        """The kept windows with these fingerprints."""
+        return self._read(self.windows, KEPT).join(found.select("fp"), "fp", "left_semi")
+
+    def remove(self) -> None:
+        remove_folder(self.spark, self.path)
+
+
+@dataclass(frozen=True)
+class Dealer:
+    """Which windows are candidates, and the shard of each; the same on every executor."""
+
+    bitmap: np.ndarray
+    common: tuple[np.ndarray, np.ndarray]
+    shards: int
+
+    def candidates(self, fp: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(marked(self.bitmap, _bit(fp, len(self.bitmap) * 8)))
+
+    def shard(self, fp: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """By fingerprint, as neighbours mostly share theirs; windows of a common one also by their own hash."""
+        spread = fp
+        if len(self.common[0]):
+            at = np.minimum(np.searchsorted(self.common[0], fp), len(self.common[0]) - 1)
+            times = np.where(self.common[0][at] == fp, -(-self.common[1][at] // DEALT), 1).astype(np.uint64)
+            spread = fp ^ mix64(windows[:, 0] % times)
+        return (mix64(spread) % np.uint64(self.shards)).astype(np.int64)
+
+
+def _bit(fp: np.ndarray, size: int) -> np.ndarray:
+    return (mix64(fp ^ np.uint64(BASE_B)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def dealer(index: FingerprintIndex, found: DataFrame, limit: int = BROADCAST_BYTES) -> Dealer:
+    """For the shared fingerprints ``found`` (fp, n)."""
+    rows, places = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    stored = index._read(index.runs).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    size = bitmap_size(rows, limit)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_bit(batch.column("fp").to_numpy().view(np.uint64), size))], names=["bit"])
 
-        A few fingerprints that occur once share a hash with others; their
-        windows are candidates too and fail the verification.
-        """
-        found = self.candidates()
-        rows, places = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-        if rows * 4 > limit:
-            return self.spark.sparkContext.broadcast(None), None
-        values = np.unique(_short(found.select("fp").toArrow().column("fp").to_numpy()))
-        return self.spark.sparkContext.broadcast(values), int(places)
+    own = bitmap(found.select("fp").mapInArrow(bits, "bit long"), size)
+    # a sequence is the least one of about half the windows around it
+    span = (index.width - min(GRAM, index.width) + 2) // 2
+    expected = span * (places + stored * rows / size)
+    common = most_common(found.where(F.col("n") > DEALT), "fp", limit // 16)
+    return Dealer(own, common, max(partitions(index.spark), -(-int(expected) // SHARD_WINDOWS)))
 
 
-def repeated(docs: DataFrame, index: FingerprintIndex, copies, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """(doc_id, __mark, starts): for each text, the starts of its repeated windows as packed 32-bit numbers; ``docs`` must be all that the index holds."""
+def repeated(docs: DataFrame, index: FingerprintIndex, limit: int = BROADCAST_BYTES, earlier: FingerprintIndex | None = None) -> DataFrame:
+    """(key, starts): for each row of ``docs`` (key, text), the starts of its repeated windows as packed 32-bit numbers.
+
+    ``docs`` must be what the index holds beyond ``earlier``; windows of the
+    latter are those that it keeps.
+    """
     spark, width = docs.sparkSession, index.width
-    known, places = index.candidate_filter(limit)
-    shards = max(partitions(spark), -(-(places or 0) * (width - GRAM + 1) // 2 // SHARD_WINDOWS))
-    sent = pa.schema([("shard", pa.int32()), ("doc_id", docs_type(docs)), ("mark", pa.binary()), ("starts", pa.binary()), ("hashes", pa.binary())])
+    found = index.candidates()
+    own = spark.sparkContext.broadcast(dealer(index, found, limit))  # twice ``limit`` bytes at most
+    sent = pa.schema([("shard", pa.int32()), ("key", pa.binary()), ("starts", pa.binary()), ("hashes", pa.binary())])
+    fields = "shard int, key binary, starts binary, hashes binary"
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = own.value
         for part in slices(batches):
-            ids, texts = part.column("doc_id").to_pylist(), as_bytes(part.column("text"))
-            marks = [text_mark(t) for t in texts]
-            own = [k for k in range(len(ids)) if copies.value.speaks(marks[k], ids[k])]
-            if not own:
-                continue
-            w = Words([texts[k] for k in own], width)
+            times: dict[bytes, int] = {}
+            texts = {}
+            for key, text in zip(part.column("key").to_pylist(), as_bytes(part.column("text")), strict=True):
+                times[key] = times.get(key, 0) + 1
+                texts[key] = text
+            keys = list(texts)
+            w = Words(list(texts.values()), width)
             fp, _ = w.fingerprints()
-            chosen = np.flatnonzero(_member(_short(fp), known.value)) if known.value is not None else np.arange(len(fp))
+            chosen = deal.candidates(fp)
             if not len(chosen):
                 continue
             h = w.windows(chosen)
-            _, first, back, n = np.unique(h.view([("a", np.uint64), ("b", np.uint64)]).ravel(), return_index=True, return_inverse=True, return_counts=True)
+            _, first, back, n = np.unique(h.view(PAIR).ravel(), return_index=True, return_inverse=True, return_counts=True)
             owner, start = w.owner[chosen], (w.at - w.starts[w.owner])[chosen].astype(np.int32)
-            local = n[back] > 1  # settled here; one of them still tells the others, as two
+            again = np.array([times[k] > 1 for k in keys], bool)[owner]
+            # settled here; one of them still tells the others, as two
+            local = (np.bincount(back, weights=1 + again, minlength=len(n)) > 1)[back]
             lead = np.zeros(len(chosen), bool)
             lead[first] = True
-            copied = np.array([marks[own[k]] in copies.value.first for k in range(len(own))], bool)[owner]
-            shard = (mix64(fp[chosen]) % np.uint64(shards)).astype(np.int64)  # equal windows have equal fingerprints, and neighbours mostly share theirs
-            # rows: settled windows go with an empty hash; leads of settled ones have starts of -1 (nothing to report back, counts as two)
             out: list[tuple] = []
-            settled = np.flatnonzero(local & ~copied)
+            settled = np.flatnonzero(local)
             for k, rows in _groups(owner[settled], settled):
-                out.append((int(k) % shards, ids[own[k]], marks[own[k]], start[rows].tobytes(), b""))
+                out.append((int.from_bytes(keys[k][:4], "little") % deal.shards, keys[k], start[rows].tobytes(), b""))
             open_ = np.flatnonzero(lead)
-            for k, rows in _groups(owner[open_] * shards + shard[open_], open_):
-                d = int(k) // shards
-                told = np.where(local[rows] | copied[rows], np.int32(-1), start[rows]).astype(np.int32)
-                out.append((int(k) % shards, ids[own[d]], marks[own[d]], told.tobytes(), h[rows].tobytes()))
+            shard = deal.shard(fp[chosen[open_]], h[open_])
+            for k, rows in _groups(owner[open_] * deal.shards + shard, open_):
+                told = np.where(local[rows], np.int32(SETTLED), start[rows]).astype(np.int32)
+                out.append((k % deal.shards, keys[k // deal.shards], told.tobytes(), h[rows].tobytes()))
+            yield table(sent, *[list(c) for c in zip(*out, strict=True)])
+
+    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        deal = own.value
+        for batch in batches:
+            held = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in batch.column("windows").to_pylist()]
+            if not held:
+                continue
+            h = np.concatenate(held)
+            shard = deal.shard(np.repeat(batch.column("fp").to_numpy().view(np.uint64), [len(x) for x in held]), h)
+            out = [(k, None, np.full(len(rows), EARLIER, np.int32).tobytes(), h[rows].tobytes()) for k, rows in _groups(shard, np.arange(len(h)))]
             yield table(sent, *[list(c) for c in zip(*out, strict=True)])
 
     def verified(key: tuple, rows: pa.Table) -> pa.Table:
@@ -279,7 +317,7 @@ def repeated(docs: DataFrame, index: FingerprintIndex, copies, limit: int = BROA
         new[1:] = (flat[order[1:]] != flat[order[:-1]]).any(1)
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
-        weight = np.bincount(group, weights=np.where(told < 0, 2, 1), minlength=1)
+        weight = np.bincount(group, weights=np.where(told == SETTLED, 2, 1), minlength=1)
         yes = (weight[group] > 1) & (told >= 0) if len(group) else np.zeros(0, bool)
         out, at = [], 0
         for s, a in zip(starts, asked, strict=True):
@@ -289,28 +327,14 @@ def repeated(docs: DataFrame, index: FingerprintIndex, copies, limit: int = BROA
             else:
                 out.append(s.tobytes())
         keep = pa.array([len(x) > 0 for x in out], pa.bool_())
-        return pa.table({"doc_id": rows.column("doc_id"), "mark": rows.column("mark"), "starts": pa.array(out, pa.binary())}).filter(keep)
-
-    key = T.StructField("doc_id", docs.schema["doc_id"].dataType)
-    rows = docs.select("doc_id", "text").mapInArrow(candidates, T.StructType([T.StructField("shard", T.IntegerType()), key, *(T.StructField(c, T.BinaryType()) for c in ("mark", "starts", "hashes"))]))
-    reply = rows.repartition(shards, "shard").groupBy("shard").applyInArrow(verified, T.StructType([key, T.StructField("mark", T.BinaryType()), T.StructField("starts", T.BinaryType())]))
-    return reply.groupBy("doc_id", "mark").agg(F.collect_list("starts").alias("starts"))
-
+        return pa.table({"key": rows.column("key"), "starts": pa.array(out, pa.binary())}).filter(keep)
 
-def docs_type(docs: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(docs.schema["doc_id"].dataType)
-
-
-def _short(fp: np.ndarray) -> np.ndarray:
-    return (mix64(fp.view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
-
-
-def _member(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(len(x), bool)
-    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+    rows = docs.mapInArrow(candidates, fields)
+    if earlier is not None:
+        rows = rows.union(earlier.earlier(found).mapInArrow(standing, fields))
+    shards = own.value.shards
+    reply = rows.repartition(shards, "shard").groupBy("shard").applyInArrow(verified, "key binary, starts binary")
+    return reply.groupBy("key").agg(F.collect_list("starts").alias("starts"))
 
 
 def _groups(key: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -321,53 +345,69 @@ def _groups(key: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, np.ndarray
         yield int(k), part
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, batches: int = 2, limit: int = BROADCAST_BYTES, digests: bool = False) -> DataFrame:
-    """``docs`` without the words of repeated windows: ``text`` rewritten (kept words joined by one space), ``n_words`` and ``n_removed``.
-
-    The documents enter the index in ``batches`` batches, dealt by the text's
-    hash.  With ``digests``, only doc_id, the counts and ``kept_sha256``.
-    """
-    spark = docs.sparkSession
-    prepare(spark)
-    docs = docs.drop("n_words", "n_removed", "kept_sha256")
-    plain = docs.select("doc_id", "text")
-    copies = copies_of(plain, limit)
-    index = FingerprintIndex.create(spark, width=width)
-    for k in range(batches):
-        index = index.append(plain.where(F.pmod(F.xxhash64("text"), F.lit(batches)) == k) if batches > 1 else plain, copies)
-    index = index.compact()
-    hits = repeated(plain, index, copies, limit).withColumnRenamed("mark", "__mark").withColumnRenamed("doc_id", "__id").withColumnRenamed("starts", "__starts")
-    source = plain if digests else docs
-    mark = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
-    joined = source.withColumn("__m", mark).join(hits, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__m") == F.col("__mark")), "left").drop("__id", "__mark", "__m")
-    inputs = [c for c in source.columns if c != "text"]
+def _rewritten(docs: DataFrame, keyed: DataFrame, key: str, hits: DataFrame, width: int, digests: bool) -> DataFrame:
+    """``keyed`` is ``docs`` with the row key; see ``dedup_substrings``."""
+    starts = unused("starts", docs)
+    joined = keyed.join(hits.select(F.col("key").alias(key), F.col("starts").alias(starts)), key, "left")
+    inputs = [c for c in docs.columns if c != "text"]
+    added = ["n_words", "n_removed", "kept_sha256"] if digests else ["text", "n_words", "n_removed"]
 
     def rewrite(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts):
             n, removed, kept = [], [], []
-            for t, s in zip(as_bytes(part.column("text")), part.column("__starts").to_pylist(), strict=True):
+            for t, s in zip(as_bytes(part.column("text")), part.column(starts).to_pylist(), strict=True):
                 words = t.split()
-                gone = None
-                if len(words) >= width and text_mark(t) in copies.value.first:
-                    gone = np.ones(len(words), bool)
-                elif s:
-                    gone = covered(np.frombuffer(b"".join(s), np.int32).astype(np.int64), width, len(words))
-                if gone is None:
-                    kept.append(b" ".join(words))
-                    removed.append(0)
-                else:
-                    kept.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
-                    removed.append(int(gone.sum()))
                 n.append(len(words))
-            rest = [part.column(c) for c in inputs]
+                if s:
+                    gone = covered(np.frombuffer(b"".join(s), np.int32).astype(np.int64), width, len(words))
+                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                kept.append(b" ".join(words))
+                removed.append(n[-1] - len(words))
             counts = [pa.array(n, pa.int64()), pa.array(removed, pa.int64())]
             own = [*counts, pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())] if digests else [pa.array([k.decode() for k in kept], pa.string()), *counts]
-            yield pa.RecordBatch.from_arrays(rest + own, names=inputs + (["n_words", "n_removed", "kept_sha256"] if digests else ["text", "n_words", "n_removed"]))
+            yield pa.RecordBatch.from_arrays([part.column(c) for c in inputs] + own, names=inputs + added)
 
-    counts = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())]
-    out = T.StructType([source.schema[c] for c in inputs] + (counts + [T.StructField("kept_sha256", T.StringType())] if digests else [T.StructField("text", T.StringType()), *counts]))
-    done = joined.mapInArrow(rewrite, out)
+    types = {"text": T.StringType(), "kept_sha256": T.StringType(), "n_words": T.LongType(), "n_removed": T.LongType()}
+    done = joined.select(*inputs, "text", starts).mapInArrow(rewrite, T.StructType([docs.schema[c] for c in inputs] + [T.StructField(c, types[c]) for c in added]))
     return done if digests else done.select(*docs.columns, "n_words", "n_removed")
 
 
-__all__ = ["FingerprintIndex", "Words", "copies_of", "covered", "dedup_substrings", "repeated"]
+def _prepared(docs: DataFrame, digests: bool) -> tuple[DataFrame, DataFrame, str]:
+    """(docs without the columns that are added, the same with a row key, that key's name)."""
+    prepare(docs.sparkSession)
+    docs = docs.drop("n_words", "n_removed", "kept_sha256")
+    docs = docs.select("doc_id", "text") if digests else docs
+    key = unused("key", docs)
+    return docs, docs.withColumn(key, row_key()), key
+
+
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, batches: int = 2, limit: int = BROADCAST_BYTES, digests: bool = False) -> DataFrame:
+    """``docs`` without the words of repeated windows: ``text`` rewritten (kept words joined by one space), ``n_words`` and ``n_removed``.
+
+    The documents enter the index in ``batches`` batches, dealt by the text's
+    hash.  With ``digests``, only doc_id, the counts and ``kept_sha256``.
+    """
+    docs, keyed, key = _prepared(docs, digests)
+    index = FingerprintIndex.create(docs.sparkSession, width=width, keeps=False)
+    for k in range(batches):
+        index = index.append(docs.where(F.pmod(F.xxhash64("text"), F.lit(batches)) == k) if batches > 1 else docs)
+    hits = checkpointed(repeated(keyed.select(F.col(key).alias("key"), "text"), index, limit))
+    index.remove()
+    return _rewritten(docs, keyed, key, hits, width, digests)
+
+
+def dedup_batch(docs: DataFrame, index: FingerprintIndex, limit: int = BROADCAST_BYTES, digests: bool = False) -> tuple[DataFrame, FingerprintIndex]:
+    """``docs`` without the words of windows that are repeated in them or were in an earlier batch, and the index with this batch.
+
+    Only the index tells of earlier batches; their documents are not needed
+    and stay as they are.
+    """
+    if not index.keeps:
+        raise ValueError("the index keeps no windows to verify a new batch with")
+    docs, keyed, key = _prepared(docs, digests)
+    grown = index.append(docs)
+    hits = checkpointed(repeated(keyed.select(F.col(key).alias("key"), "text"), grown, limit, index))
+    return _rewritten(docs, keyed, key, hits, index.width, digests), grown
+
+
+__all__ = ["FingerprintIndex", "Words", "covered", "dedup_batch", "dedup_substrings", "repeated"]

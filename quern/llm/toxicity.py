@@ -9,12 +9,15 @@ mapped to a probability.
 Weights are log odds of an entry in toxic against other documents, learned
 from at most ``TRAINING_ROWS`` labelled rows outside the held-out fold; the
 counts are made on executors and only the ``MAX_ENTRIES`` strongest entries
-reach the driver.  Without usable labels, ``SEED_WORDS`` with equal weights
-and a fixed scale serve.
+reach the driver.  Exception phrases are learned too, in whatever language:
+two words, one of them an entry, that ``LEAST_CLEAN`` clean documents or more
+hold and no toxic one.  Without usable labels, ``SEED_WORDS`` with equal
+weights, fixed exceptions and a fixed scale serve.
 
 Defined cases: null and empty texts get the score of a document without
-matches; every row is scored, repeated rows alike; an empty table gives an
-empty result.
+matches; every row is scored, repeated rows alike; a null doc_id is in the
+fold of the empty text and is never learned from; other columns are kept by
+``score`` and ignored by ``scored``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ TRAINING_ROWS = 20_000
 MAX_ENTRIES = 5_000
 #: An entry's least log odds.
 LEAST_WEIGHT = 2.5
+#: Most learned exception phrases, and the clean documents that make one.
+MAX_EXCEPTIONS, LEAST_CLEAN = 2_000, 3
 PREFIXES = (4, 5, 6, 7)
 LONGEST = 24
 FOLDS, HELD_OUT = 5, 0
@@ -151,13 +156,25 @@ def matched(automaton, folded: str) -> tuple[float, float]:
     return total, total / math.sqrt(max(1, folded.count(" ") - 1))
 
 
+def phrases(automaton, folded: str) -> set[str]:
+    """The two-word phrases with a matched word."""
+    words = folded.split()
+    places, at = {}, 0
+    for k, w in enumerate(words):
+        places[at] = k  # by the space before the word
+        at += len(w) + 1
+    hit = {places[end - n + 1] for end, (n, weight) in automaton.iter(folded) if weight is not None}
+    return {f"{words[a]} {words[a + 1]}" for k in hit for a in (k - 1, k) if 0 <= a < len(words) - 1}
+
+
 def features(total: float, dense: float) -> tuple[float, float]:
     return math.log1p(total), math.log1p(10 * dense)
 
 
 def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Lexicon:
     """A lexicon from ``labels.toxic``; SEED if either label is missing from the training rows."""
-    rows = training_rows(docs, labels, "toxic", folds, held_out, limit).select("text", F.col("toxic").alias("y"))
+    # read twice, so kept: at most ``limit`` rows
+    rows = checkpointed(training_rows(docs, labels, "toxic", folds, held_out, limit).select("text", F.col("toxic").alias("y")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("entry", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
@@ -184,11 +201,31 @@ def learn(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, folds:
     spoken = {r["entry"] for r in counts.where(F.col("entry").isin(*SEED.weights) & (F.col("clean") * whole["toxic"] > F.col("toxic") * whole["clean"])).collect()}
     weights = {e: LEAST_WEIGHT for e in SEED.weights if e not in spoken}
     lexicon = Lexicon(weights | {r["entry"]: round(float(r["w"]), 6) for r in best}, (0.0, 0.0, 0.0))
+    lexicon = Lexicon(lexicon.weights, lexicon.scale, _exceptions(rows, lexicon))
     x, y = _measured(rows, lexicon)
     w = logistic(x, y)
     return Lexicon(lexicon.weights, (float(w[2]), float(w[0]), float(w[1])), lexicon.exceptions)
 
 
+def _exceptions(rows: DataFrame, lexicon: Lexicon) -> tuple[str, ...]:
+    """The fixed exceptions, and the phrases that speak for themselves in clean documents: MAX_EXCEPTIONS at most reach the driver."""
+    own = rows.sparkSession.sparkContext.broadcast((tuple(lexicon.weights.items()), lexicon.exceptions))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("phrase", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())])
+        automaton = _compiled(*own.value)
+        for part in slices(batches):
+            seen: list[Counter[str]] = [Counter(), Counter()]
+            for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
+                seen[y > 0].update(phrases(automaton, fold(text)))
+            keys = list({*seen[0], *seen[1]})
+            yield table(schema, keys, [seen[1][k] for k in keys], [seen[0][k] for k in keys])
+
+    counts = rows.mapInArrow(count, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    best = counts.where((F.col("toxic") == 0) & (F.col("clean") >= LEAST_CLEAN)).orderBy(F.desc("clean"), "phrase").limit(MAX_EXCEPTIONS).collect()
+    return tuple(dict.fromkeys([*lexicon.exceptions, *[r["phrase"] for r in best]]))
+
+
 def _measured(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of the training rows: three numbers a row, at most TRAINING_ROWS rows."""
     own = rows.sparkSession.sparkContext.broadcast((tuple(lexicon.weights.items()), lexicon.exceptions))

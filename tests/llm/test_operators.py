@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, chat, decontaminate, html_text, line_dedup, quality, simhash, spotsigs, substring_dedup, toxicity
+from quern.llm import bpe, chat, common, decontaminate, html_text, line_dedup, quality, simhash, spotsigs, substring_dedup, toxicity
 from quern.llm.common import components, fold_of, remainder_of_id
 
 DOCS = "doc_id long, text string"
@@ -50,7 +50,7 @@ def rows(df, *columns):
 
 def plain_lines(data, least):
     keys = lambda t: [x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)}) for x in (t or "").split("\n")]
-    held = Counter(k for _, t in data for k in set(keys(t)))
+    held = Counter(k for _, k in {(i, k) for i, t in data for k in keys(t)})
     out = []
     for i, t in data:
         lines = (t or "").split("\n")
@@ -77,6 +77,16 @@ def test_lines_are_reversible(spark):
     assert rows(line_dedup.dedup_lines(first, back, digests=True), "doc_id", "n_lines", "n_dropped", "kept_sha256") == plain_lines(a, 3)
 
 
+def test_lines_of_one_document(spark):
+    """Ten rows of one id are one document; rows of one id keep results of their own."""
+    data = [(1, f"only here\nx{i}") for i in range(10)] + [(None, "nameless")] * 12 + [(i, "everywhere") for i in range(1, 12)]
+    df = spark.createDataFrame(data, DOCS)
+    for limit in (64 << 20, 0):
+        got = line_dedup.dedup_lines(df.withColumn("hits", F.lit(1)).withColumn("mark", F.lit(2)), broadcast_limit=limit)
+        assert rows(got.groupBy("doc_id").agg(F.sum("n_lines").alias("n"), F.sum("n_dropped").alias("k")), "doc_id", "n", "k") == sorted([(1, 21, 1), (None, 12, 0), *((i, 1, 1) for i in range(2, 12))], key=str)
+        assert got.columns == ["doc_id", "text", "hits", "mark", "n_lines", "n_dropped"]
+
+
 def test_lines_keep_columns(spark):
     df = spark.createDataFrame([(1, "a\nb", 9, "x"), (2, "a", 9, None), (None, "a", 9, None)], "doc_id long, text string, n_lines long, source string")
     got = line_dedup.dedup_lines(df, min_docs=3)
@@ -118,6 +128,39 @@ def test_passages(docs, width, limit, batches):
     assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_passages(made(1), width)
 
 
+def test_passages_in_small_shards(spark, monkeypatch):
+    """A bitmap too small for its fingerprints lets nearly all windows through, to as many shards as they ask for; common ones are dealt."""
+    monkeypatch.setattr(substring_dedup, "SHARD_WINDOWS", 500)
+    monkeypatch.setattr(common, "PIECE", 8)
+    monkeypatch.setattr(substring_dedup, "DEALT", 3)
+    data = made(12, 40) + [(500 + i, t) for i, t in made(12, 20)]
+    docs = spark.createDataFrame(data, DOCS).repartition(6)
+    index = substring_dedup.FingerprintIndex.create(spark, keeps=False).append(docs)
+    deal = substring_dedup.dealer(index, index.candidates(), 0)
+    assert deal.shards > 4 and np.unpackbits(deal.bitmap).mean() > 0.9
+    got = substring_dedup.dedup_substrings(docs, limit=0, digests=True)
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == plain_passages(data, 35)
+
+
+def test_passages_batch_by_batch(spark, monkeypatch):
+    """Each batch is judged by itself and all batches before, whose documents are gone."""
+    monkeypatch.setattr(substring_dedup, "FAN_IN", 3)
+    parts = [made(20, 12), made(21, 12), [(i + 700, t) for i, t in made(20, 9)] + made(22, 5), made(21, 15)]
+    index, before = substring_dedup.FingerprintIndex.create(spark, width=12), []
+    split = lambda t: [w for w in (t or "").translate({c: 32 for c in (9, 10, 11, 12, 13)}).split(" ") if w]
+    for part in parts:
+        got, index = substring_dedup.dedup_batch(spark.createDataFrame(part, DOCS), index, digests=True)
+        places = Counter(tuple(w[p : p + 12]) for _, t in part + before for w in [split(t)] for p in range(len(w) - 11))
+        want = []
+        for i, t in part:
+            w = split(t)
+            gone = {q for p in range(len(w) - 11) if places[tuple(w[p : p + 12])] > 1 for q in range(p, p + 12)}
+            want.append((i, len(w), len(gone), sha(" ".join(x for p, x in enumerate(w) if p not in gone))))
+        assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(want, key=str)
+        before += part
+    assert len(index.runs) < 3 and substring_dedup.dedup_batch(spark.createDataFrame([], DOCS), index)[0].count() == 0
+
+
 def test_passages_periodic(spark):
     data = [(1, "a b " * 18), (2, "x " * 35), (3, "x " * 36), (4, " ".join(map(str, range(60)))), (None, "q " * 40), (4, "q " * 40)]
     got = substring_dedup.dedup_substrings(spark.createDataFrame(data, DOCS), digests=True)
@@ -225,14 +268,15 @@ def plain_hits(data, items, width):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 300])
-def test_decontamination(spark, docs, limit):
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_decontamination(spark, docs, limit, monkeypatch):
+    monkeypatch.setattr(common, "PIECE", 8 if limit == 0 else 4096)
     data = made(1)
     words = data[8][1].split()
     items = [(1, " ".join(words[2:18]).upper()), (2, data[9][1][:70]), (10, "home"), (3, None), (4, "..."), (5, "home"), (1, " ".join(words[2:18]))]
-    got = decontaminate.decontaminate(docs.withColumn("n_hit", F.lit("x")), spark.createDataFrame(items, "item_id long, text string"), limit=limit)
+    got = decontaminate.decontaminate(docs.withColumn("n_hit", F.lit("x")).withColumn("key", F.lit("k")).withColumn("_spans", F.lit(0)), spark.createDataFrame(items, "item_id long, text string"), limit=limit)
     assert rows(got, "doc_id", "n_words", "n_hit", "items", "contaminated") == plain_hits(data, items, 10)
-    assert got.columns == ["doc_id", "text", "n_words", "n_hit", "items", "contaminated"]
+    assert got.columns == ["doc_id", "text", "key", "_spans", "n_words", "n_hit", "items", "contaminated"]
     none = decontaminate.decontaminate(docs, spark.createDataFrame([], "item_id long, text string"))
     assert none.where("contaminated").count() == 0 and none.count() == len(data)
 
@@ -262,6 +306,7 @@ def test_spotsigs(spark, docs):
 
 def test_next_document_across_spans(spark, monkeypatch):
     monkeypatch.setattr(spotsigs, "SPAN", 4)
+    monkeypatch.setattr(spotsigs, "ONE_TASK", 4)
     ids = [0, 1, 2, 3, 4, 9, 77, 78, 1000, 5000, 5001, 5002, 10**12, -5]
     df = spark.createDataFrame([(i, f"t{i}") for i in ids], DOCS)
     got = {r["doc_id"]: r["nxt"]["text"] for r in spotsigs.with_next(df, ["text"]).collect()}
@@ -313,6 +358,27 @@ def test_chat(spark):
     assert chat.formatted(df.where("conv_id < 0")).count() == 0
 
 
+def test_chat_plain(spark):
+    """Random conversations, many of them snapshots of others, against all pairs."""
+    r = random.Random(2)
+    data, whole = [], {}
+    for c in range(120):
+        base = whole[r.randrange(c)] if c and r.random() < 0.6 else ()
+        turns = (*base[: r.randint(0, len(base))], *(r.choice("abc") for _ in range(r.randint(0 if base else 1, 4))))
+        whole[c] = turns or ("z",)
+        data += [(c, k, "u", t) for k, t in enumerate(whole[c])]
+    want = {c for c, t in whole.items() if not any(x[: len(t)] == t and (len(x) > len(t) or d < c) for d, x in whole.items() if d != c)}
+    got = chat.formatted(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()
+    assert {x["conv_id"] for x in got} == want
+    assert all(x["rendered"] == "".join(f"<|u|>\n{t}\n" for t in whole[x["conv_id"]]) and x["n_turns"] == len(whole[x["conv_id"]]) for x in got)
+
+
+def test_chat_long(spark):
+    """Linear in a conversation's turns."""
+    df = spark.range(30_000).selectExpr("1L as conv_id", "id as turn", "'u' as role", "'t' as text")
+    assert rows(chat.formatted(df), "conv_id", "n_turns") == [(1, 30_000)]
+
+
 # BPE
 
 
