@@ -50,6 +50,23 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+# Letters and digits that Python's tables (Unicode 15.1) do not know and the library's do.
+NEWER = "1c89-1c8a a7cb-a7ce a7d2 a7d4 a7da-a7dc 105c0-105f3 10d4a-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 11bc0-11be0 13460-143fa 16100-1611d 16d40-16d6c 16ea0-16eb8 18cff 1e5d0-1e5ed 1e5f0"
+
+# Lower case of capitals among them (from, to, how many in a row).
+NEWER_LOWER = {0x1C89: (0x1C8A, 1), 0xA7CB: (0x264, 1), 0xA7CC: (0xA7CD, 1), 0xA7CE: (0xA7CF, 1), 0xA7D2: (0xA7D3, 1), 0xA7D4: (0xA7D5, 1), 0xA7DA: (0xA7DB, 1), 0xA7DC: (0x19B, 1), 0x10D50: (0x10D70, 22), 0x16EA0: (0x16EBB, 25)}
+LOWER = {a + k: b + k for a, (b, n) in NEWER_LOWER.items() for k in range(n)}
+CAPITALS = regex.compile(f"[{''.join(map(chr, LOWER))}]")
+
+
+@cache
+def later_letters() -> list[str]:
+    """Characters that the installed ``regex`` takes for letters or digits and the library does not, as its tables are older."""
+    newer = {c for a, _, b in (r.partition("-") for r in NEWER.split()) for c in range(int(a, 16), int(b or a, 16) + 1)}
+    unknown = "".join([chr(c) for c in range(0x110000) if c not in newer and unicodedata.category(chr(c)) == "Cn"])
+    return regex.findall(r"[\p{L}\p{N}]", unknown)
+
+
 class Vocabulary:
     """Pieces, merge ranks and the merge tree as arrays."""
 
@@ -60,7 +77,13 @@ class Vocabulary:
         self.ids: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.pattern = regex.compile(next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", BLANKS))
+        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split").replace(r"\s", BLANKS)
+        self.pattern = regex.compile(split)
+        # for texts with characters that only later versions of Unicode know as letters or digits
+        later = "".join(later_letters())
+        self.first_later = later[:1]
+        self.with_later = regex.compile(split.replace(r"\p{L}", f"[\\p{{L}}--[{later}]]").replace(r"\p{N}", f"[\\p{{N}}--[{later}]]"), regex.V1) if later else self.pattern
+        self.later = regex.compile(f"[{later}]") if later else None
         self.splitter = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = byte_letters()
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -212,21 +235,27 @@ class Vocabulary:
             cut[i] = self.exact(words[i])
         return cut
 
+    def _pieces(self, text: str) -> list[str]:
+        odd = self.later is not None and not text.isascii() and max(text) >= self.first_later and self.later.search(text)
+        return (self.with_later if odd else self.pattern).findall(text)
+
     def normalised(self, text: str) -> str:
         """NFC, then lower case letter by letter (no final sigma)."""
         text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        if not text.isascii() and max(text) >= "\u1c89" and CAPITALS.search(text):
+            text = text.translate(LOWER)
         return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
     def words(self, text: str) -> list[str]:
         """The text's words, and special tokens as they stand."""
         if self.splitter is None or "<" not in text:
-            return self.pattern.findall(self.normalised(text))
+            return self._pieces(self.normalised(text))
         out, at = [], 0
         for m in self.splitter.finditer(text):
-            out += self.pattern.findall(self.normalised(text[at : m.start()]))
+            out += self._pieces(self.normalised(text[at : m.start()]))
             out.append(m[0])
             at = m.end()
-        return out + self.pattern.findall(self.normalised(text[at:]))
+        return out + self._pieces(self.normalised(text[at:]))
 
     def decode(self, ids) -> str:
         """The tokens' strings, as the library joins them where the file names no decoder."""

@@ -127,6 +127,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Rows of one key from which a join does not gather them.
+HOT = 50_000
+
+
+def joined_by_key(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``values`` (one row a key), where a key may have a third of all rows.
+
+    The values of keys with over HOT rows, at most one for each HOT rows, are
+    broadcast while they are few; the other keys' rows meet by their hash.
+    """
+    hot = checkpointed(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select(key))
+    few = hot.count()
+    if not few or few * 64 > BROADCAST_BYTES:
+        return rows.join(values, key)
+    often = rows.join(F.broadcast(values.join(F.broadcast(hot), key, "left_semi")), key)
+    return often.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(values, key))
+
+
 def powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1

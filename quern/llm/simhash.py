@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.llm import near_copies
-from quern.llm.common import as_bytes, checkpointed, components, partitions, prepare, row_key, runs, slices, unused
+from quern.llm.common import as_bytes, checkpointed, components, joined_by_key, partitions, prepare, row_key, runs, slices, unused
 
 SHINGLE = 3
 RADIUS = 2
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, radius: int = RADIUS) ->
     # only linked fingerprints need another look at their root
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
     of = named.join(names, "root").select("fp", "component_id")
-    return own.join(of, "fp").select("doc_id", "fp", "component_id")
+    return joined_by_key(own, of, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float | None = None) -> DataFrame:

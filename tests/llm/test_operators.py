@@ -205,6 +205,14 @@ def test_simhash(docs):
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs).collect()) == sorted(set(of.values()))
 
 
+def test_hot_keys(spark, monkeypatch):
+    """A join by a key that many rows have gives the same rows, whether it is broadcast or not."""
+    monkeypatch.setattr(common, "HOT", 10)
+    left = spark.createDataFrame([(i, 7 if i % 2 else i % 20) for i in range(100)], "doc_id long, k long")
+    right = spark.createDataFrame([(k, f"v{k}") for k in range(15)], "k long, v string")
+    assert rows(common.joined_by_key(left, right, "k"), "doc_id", "k", "v") == rows(left.join(right, "k"), "doc_id", "k", "v")
+
+
 @pytest.mark.parametrize("split", [5, 200])
 def test_links(spark, monkeypatch, split):
     monkeypatch.setattr(simhash, "SPLIT", split)
@@ -405,6 +413,14 @@ def test_bpe(spark, library):
     assert bpe.encode(df.where("doc_id < 0")).count() == 0
 
 
+def test_bpe_letters_of_all_code_points(library):
+    """Every character beside letters and digits, where its class decides how the text is cut."""
+    texts = ["".join(f"a{chr(c)}a 1{chr(c)}1 " for c in range(at, min(at + 64, 0x110000))) for at in range(0, 0x110000, 64) if not 0xD800 <= at < 0xE000]
+    got = bpe.encoder(bpe.default_path()).encode(texts)
+    for t, (ids, _), w in zip(texts, got, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == w.ids, hex(ord(t[1]))
+
+
 def test_bpe_pairs_and_merges(library):
     v = bpe.Vocabulary(bpe.default_path())
     r = random.Random(8)
