@@ -113,6 +113,20 @@ def cached_result(t):
     return c.cached(df, seconds=0) if c.cached(df, seconds=3600) is kept else df
 
 
+@query("SELECT 'records' AS kind, 5::BIGINT AS n UNION ALL SELECT 'joined', 25 UNION ALL SELECT 'aggregation', 1 UNION ALL SELECT 'grouped', 5 UNION ALL SELECT 'search', 0")
+def result_kinds(t):
+    nation, region = t.q("nation"), t.q("region")
+    asked = [region, nation.join(region, "n_regionkey", "r_regionkey"), nation.count("n"), nation.group_by("n_regionkey").count("n"), region.search("nowhere at all", ["r_name"])]
+    results = [q.result() for q in asked]
+    return rows_of(t, "kind string, n long", *[(r.kind, r.of(r.kind).count()) for r in results if r.of_or_none("other") is None])
+
+
+@query("SELECT p_size, count(*) AS n FROM part WHERE p_size <= 12 GROUP BY p_size")
+def queries_in_flight(t):
+    waiting = [(k, t.q("part").where("p_size", equals=k).later(lambda df: df.count())) for k in range(1, 13)]
+    return rows_of(t, "p_size int, n long", *[(k, n) for k, f in waiting if (n := f.result())])
+
+
 # row functions
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -38,11 +39,12 @@ class Query:
     most: int | None = None
     columns: tuple[str | Column, ...] = ()
     hidden: bool = False
+    marks: frozenset[str] = frozenset()
 
     # filters
 
-    def _step(self, f: Step) -> Query:
-        return replace(self, steps=(*self.steps, f))
+    def _step(self, f: Step, mark: str | None = None) -> Query:
+        return replace(self, steps=(*self.steps, f), marks=self.marks | ({mark} if mark else set()))
 
     def where(self, field: str | Column | Callable[[DataFrame], Column], **tests) -> Query:
         """A Column, a function of the DataFrame, or a field and tests by name; all are ANDed."""
@@ -105,7 +107,7 @@ class Query:
     # joins and computed fields
 
     def join(self, other: Query | DataFrame, on: str | Sequence[str], equals: str | Sequence[str] = "id", kind: str = "inner") -> Query:
-        return self._step(lambda df: joins.join(df, _df(other), on, equals, kind))
+        return self._step(lambda df: joins.join(df, _df(other), on, equals, kind), "joined")
 
     def compute(self, alias: str, expression) -> Query:
         return self._step(lambda df: df.withColumn(alias, exprs.value(expression)))
@@ -117,7 +119,7 @@ class Query:
 
     def search(self, text: str, fields: list[str] | None = None, case_sensitive: bool = False, min_length: int = 2, index: search.Index | None = None) -> Query:
         """Adds ``score``.  An index is used if it is given and case does not matter; without fields, those of the index or all string columns are searched."""
-        return self._step(lambda df: search.search(df, text, fields, case_sensitive, min_length, index))
+        return self._step(lambda df: search.search(df, text, fields, case_sensitive, min_length, index), "search")
 
     def nearest(self, field: str, to: Sequence[float], limit: int | None = None, threshold: float | None = None, tie: Sequence[str] = ()) -> Query:
         return self._step(lambda df: vector.nearest(df, field, to, limit, threshold, tie))
@@ -242,6 +244,15 @@ class Query:
 
     execute = to_df
 
+    def result(self) -> Result:
+        kind = "grouped" if self.keys else "aggregation" if self.aggregates else next((k for k in ("search", "joined") if k in self.marks), "records")
+        return Result(kind, self.to_df())
+
+    def later(self, action: Callable[[DataFrame], object] = DataFrame.collect) -> Future:
+        """The action's outcome as a future; at most IN_FLIGHT run at once, and others wait."""
+        df = self.to_df()
+        return _POOL.submit(lambda: action(df))
+
     def first(self):
         return self.limit(1).to_df().first()
 
@@ -279,6 +290,34 @@ class Query:
         return explain(self.to_df(), mode)
 
 
+#: Queries that run at the same time.
+IN_FLIGHT = 100
+_POOL = ThreadPoolExecutor(IN_FLIGHT, "query")
+
+
+@dataclass(frozen=True)
+class Result:
+    """The rows of a query by the kind of query: records, joined, aggregation, grouped or search."""
+
+    kind: str
+    df: DataFrame
+
+    def of(self, kind: str) -> DataFrame:
+        """The rows, if the query is of that kind."""
+        if kind != self.kind:
+            raise InvalidQuery(f"the result is {self.kind}, not {kind}")
+        return self.df
+
+    def of_or_none(self, kind: str) -> DataFrame | None:
+        return self.df if kind == self.kind else None
+
+    def count(self) -> int:
+        return self.df.count()
+
+    def is_empty(self) -> bool:
+        return self.df.isEmpty()
+
+
 def edits(a: str, b: str) -> int:
     """Levenshtein distance, without case."""
     row = list(range(len(b) + 1))
