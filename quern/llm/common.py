@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows handed to a Python worker at once (documents are a few kB on average).
 BATCH_ROWS = 500
@@ -160,16 +161,23 @@ def rolling(h: np.ndarray, base: int, k: int) -> np.ndarray:
     return mix64((sums[k:] - sums[:-k]) * powers(pow(base, -1, 1 << 64), n - k + 1))
 
 
+#: Links that one task joins up; more take rounds over all executors.
+ONE_TASK_LINKS = 1 << 20
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of a graph given as (a, b), b < a: alternating large-star and small-star steps.
+    """(node, root) of a graph given as (a, b), b < a.
 
-    Each step points nodes at smaller neighbours; links never grow in number,
-    and the steps end when a round changes nothing.  Work is shared by the
-    nodes' hash; a node's neighbours only meet as aggregates.
+    Up to ONE_TASK_LINKS counted links are joined up in one task of an
+    executor.  More take alternating large-star and small-star steps: each
+    points nodes at smaller neighbours; links never grow in number, and the
+    steps end when a round changes nothing.  Work is shared by the nodes'
+    hash; a node's neighbours only meet as aggregates.
     """
     edges = checkpointed(edges)
-    if not edges.limit(1).count():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if edges.count() <= ONE_TASK_LINKS:
+        kinds = T.StructType([T.StructField("node", edges.schema["a"].dataType), T.StructField("root", edges.schema["a"].dataType)])
+        return edges.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(_united, kinds)
 
     def mark(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -239,6 +247,25 @@ def marked(bits: np.ndarray, bit: np.ndarray) -> np.ndarray:
     return (bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def _united(edges: pa.Table) -> pa.Table:
+    """(node, root) of the nodes that are not the smallest of their part."""
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    for a, b in zip(edges.column("a").to_pylist(), edges.column("b").to_pylist(), strict=True):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    kind = edges.schema.field("a").type
+    return pa.table({"node": pa.array(nodes, kind), "root": pa.array([root(x) for x in nodes], kind)})
+
+
 def remainder_of_id(doc_id: str, mod: int):
     """crc32 of the id's decimal text modulo ``mod``: the fold that a contract names; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(mod))

@@ -12,9 +12,10 @@ takes ``limit`` bytes at most, and the fuller it is the more words are joined
 in vain, with the same result.  A match gives the one place where the window
 could start: the length bound asks that it lies inside the document, the
 positional bound that the window's first and last words stand at their
-places, and what is left is verified word by word.  The documents' side is
-salted, as a third of all documents may hold one passage; the benchmark's
-side, far smaller, is repeated for each salt.
+places, and what is left is verified word by word.  Windows that take up to
+``limit`` bytes are broadcast.  Of more, the documents' side is salted, as a
+third of all documents may hold one passage, and the benchmark's side, far
+smaller, is repeated for each salt.
 
 Defined cases: null and empty texts have no words and no hits, an item
 without words has no window; repeated item rows with the same id count once,
@@ -41,6 +42,8 @@ from quern.llm.common import BROADCAST_BYTES, as_bytes, bitmap, bitmap_size, che
 
 WIDTH = 10
 SALTS = 16
+#: What a window takes in a broadcast table, about.
+WINDOW_BYTES = 1024
 #: Upper case to lower, and every ASCII byte that is no letter or digit to a space.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 #: Which neighbour goes with a token: the word after it, the word before it (at a window's end), or none (a window of one word).
@@ -97,7 +100,8 @@ def _bits_of(held: DataFrame, size: int) -> DataFrame:
 def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(key, spans, items) of the rows of ``docs`` (key, text) that hold a window: the (start, end) words of each, and the sorted ids of their items."""
     held = windows(benchmark, width)
-    size = bitmap_size(held.count(), limit)
+    several = held.count()
+    size = bitmap_size(several, limit)
     own = docs.sparkSession.sparkContext.broadcast(bitmap(_bits_of(held, size), size))  # ``limit`` bytes at most
     schema = pa.schema([("key", pa.binary()), ("token", pa.string()), ("at", pa.int32()), ("before", pa.int32()), ("around", pa.list_(pa.string()))])
 
@@ -123,10 +127,14 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, limit: int =
             if out:
                 yield table(schema, *[list(c) for c in zip(*out, strict=True)])
 
-    sides = docs.mapInArrow(candidates, "key binary, token string, at int, before int, around array<string>").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    asked = held.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    sides = docs.mapInArrow(candidates, "key binary, token string, at int, before int, around array<string>")
+    if several * WINDOW_BYTES <= limit:
+        pairs = sides.join(F.broadcast(held), "token")  # counted
+    else:
+        asked = held.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        pairs = sides.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))).join(asked, ["token", "salt"])
     start, n = F.col("before") - F.col("place"), F.size("words")
-    met = sides.join(asked, ["token", "salt"]).where((start >= 0) & (start + n <= F.size("around")))
+    met = pairs.where((start >= 0) & (start + n <= F.size("around")))
     met = met.where((F.get("around", start) == F.get("words", F.lit(0))) & (F.get("around", start + n - 1) == F.get("words", n - 1)))
     met = met.where(F.slice("around", F.greatest(start + 1, F.lit(1)), n) == F.col("words"))
     begin = F.col("at") - F.col("place")

@@ -240,7 +240,9 @@ def test_links(spark, monkeypatch, split):
         assert sorted(tree.within(v, 3)) == [i for i, x in enumerate(values) if (x ^ v).bit_count() <= 3]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 1 << 20])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "ONE_TASK_LINKS", most)
     chain = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(200, 100), (300, 100)], "a long, b long")
     got = dict(rows(components(chain), "node", "root"))
     assert set(got.values()) == {0, 100} and got[40] == 0 and got[300] == 100
