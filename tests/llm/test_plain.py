@@ -6,13 +6,12 @@ import random
 from html.parser import HTMLParser
 
 import corpus_pipeline
-import numpy as np
 import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
 from test_near_copies import plain_parts
-from test_operators import DOCS, labelled, made, plain_hits, rows, sha
+from test_operators import DOCS, labelled, plain_hits, rows, sha
 
 from quern.llm import bpe, html_text, quality, spotsigs, toxicity
 
