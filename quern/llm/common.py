@@ -200,7 +200,7 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def most_common(counts: DataFrame, column: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted values as uint64, their n) of (column, n): all with at least such an n that at most ``most`` are listed."""
+    """(sorted values as uint64, their n as int32, at most 2^31 - 1) of (column, n): all with at least such an n that at most ``most`` are listed."""
     counts = checkpointed(counts.withColumn("step", F.floor(F.log2("n") * 4).cast("int")))
     least, total = None, 0
     for step, rows in sorted(counts.groupBy("step").count().collect(), reverse=True):  # at most four rows for each doubling
@@ -209,9 +209,9 @@ def most_common(counts: DataFrame, column: str, most: int) -> tuple[np.ndarray,
             break
         least = step
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     got = counts.where(F.col("step") >= least).select(column, "n").toArrow()
-    values, n = got.column(column).to_numpy().view(np.uint64), got.column("n").to_numpy()
+    values, n = got.column(column).to_numpy().view(np.uint64), np.minimum(got.column("n").to_numpy(), 2**31 - 1).astype(np.int32)
     order = np.argsort(values)
     return values[order], n[order]
 
