@@ -7,6 +7,7 @@ time however long the documents are.
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -52,6 +53,19 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path: a third of a checkpoint's bytes, and removable."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now: it does so only when the driver's heap is collected, which few large steps may never cause."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """``name``, or with marks before it what no column of the frames is called."""
     taken = {c.lower() for f in frames for c in f.columns}

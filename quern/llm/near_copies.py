@@ -9,10 +9,19 @@ shingles is bounded by ``COMMON`` entries; it only saves work, since every
 order gives the same pairs.
 
 Texts that share such a shingle form a group, named by its smallest member.
-Members that no other one of the group is near enough to in size drop out.  A
-group meets with its members' whole sets, and pairs are tested exactly, but
-those that tested pairs have joined already: what counts is which texts
-hang together, so a group of copies costs about one test a member.  Groups
+Members that no other one of the group is near enough to in size drop out.
+The others meet as bitmaps of the parity of their shingles' hashes, about two
+bits a shingle: two sets differ in at least as many shingles as their bitmaps
+in bits, so pairs whose bitmaps differ in more than alike sets could are
+unlike for certain.  What hangs together by the other pairs is a new group,
+the same one wherever its members met; a member without such a pair drops
+out.  So what is sent of a text is bounded by its first shingles, however
+many unlike texts share them.
+
+Only such a group meets with its members' whole sets, and pairs are tested
+exactly, but those that tested pairs have joined already: what counts is
+which texts hang together, so a group of copies costs about one test a
+member.  Groups of over ``FILTERED`` shingles skip the bitmaps.  Groups
 of over ``GROUP`` shingles are tested in blocks, each with the group's first
 member; then the members that are still apart from the group's largest part
 are tested against all blocks.  So no task holds an unbounded group, and no
@@ -43,13 +52,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import BROADCAST_BYTES, as_bytes, checkpointed, components, joined_by_key, mix64, most_common, partitions, prepare, rolling, row_key, runs, slices, table, unused
+from quern.llm.common import BROADCAST_BYTES, as_bytes, checkpointed, components, joined_by_key, mix64, most_common, partitions, prepare, release, remove_folder, rolling, row_key, runs, slices, stored, table, unused
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Entries of the list of common shingles (12 bytes each).
 COMMON = 1 << 21
 #: Shingles that are tested together.
 GROUP = 1 << 17
+#: Shingles of a group whose bitmaps are compared in one task: no more bytes than the whole sets of GROUP.
+FILTERED = 16 * GROUP
 #: Bytes of text whose shingles one task counts, on average.
 COUNTED_TOGETHER = 8 << 20
 #: Bytes of text whose shingles a worker holds at once.
@@ -171,9 +182,10 @@ def first_shingles(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray]
     return flat[chosen], owner[chosen], held[chosen]
 
 
-def groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, most: int = COMMON) -> DataFrame:
-    """(lead, node, size), distinct: texts that share one of their first shingles, by the least of them."""
+def groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, most: int = COMMON) -> tuple[DataFrame, str]:
+    """(lead, node, size), distinct: texts that share one of their first shingles, by the least of them; and the folder that they are read from."""
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, k, most))
+    release(docs.sparkSession)
     schema = pa.schema([("token", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("size", pa.int32())])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,13 +200,13 @@ def groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, mo
     own = W.partitionBy("token", "salt")
     held = docs.select("text").mapInArrow(first, "token long, salt int, node long, size int")
     held = held.withColumn("lead", F.min("node").over(own)).withColumn("last", F.max("node").over(own)).where((F.col("lead") < F.col("last")) | (F.col("salt") >= 0))
-    held = checkpointed(held.groupBy("lead", "node", F.when(F.col("salt") >= 0, F.col("token")).alias("hot")).agg(F.max("size").alias("size")))
+    held, folder = stored(held.groupBy("lead", "node", F.when(F.col("salt") >= 0, F.col("token")).alias("hot")).agg(F.max("size").alias("size")), "groups")
     # the salts of one shingle have one lead
     hot = held.where("hot is not null")
     leads = hot.groupBy("hot").agg(F.min("lead").alias("first"), F.max("node").alias("last")).where("first < last").select("hot", "first")
     plain = held.where("hot is null").select("lead", "node", "size")
     salted = hot.join(leads, "hot").select(F.col("first").alias("lead"), "node", "size")
-    return plain.union(salted).groupBy("lead", "node").agg(F.max("size").alias("size"))
+    return plain.union(salted).groupBy("lead", "node").agg(F.max("size").alias("size")), folder
 
 
 def _near_in_size(members: DataFrame, similarity: float) -> DataFrame:
@@ -207,6 +219,96 @@ def _near_in_size(members: DataFrame, similarity: float) -> DataFrame:
     return placed.withColumn("fits", fits | (F.col("weight") > GROUP)).where("fits").select("lead", "node", "size")
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for each value of the hashes' last bits: whether an odd number of shingles has it; a power of two of bits, 64 and one a shingle at least."""
+    width = max(64, 1 << (len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def maybe_alike(lead: np.ndarray, size: np.ndarray, bits: list[bytes], similarity: float) -> np.ndarray:
+    """For each row its part's first row: what hangs together by pairs of one lead whose sizes and bitmaps alike sets could have."""
+    order = np.lexsort((size, lead))
+    lead, size = lead[order], size[order]
+    words = np.array([len(bits[i]) // 8 for i in order], np.int64)
+    # at each width the bitmaps of that width, and the next wider ones folded: the halves' exclusive or is what the half width gives
+    at, place = {}, {}
+    for w in np.unique(words).tolist():
+        own, wider = np.flatnonzero(words == w), np.flatnonzero(words == 2 * w)
+        x = np.frombuffer(b"".join(bits[order[i]] for i in own), np.uint64).reshape(-1, w)
+        y = np.frombuffer(b"".join(bits[order[i]] for i in wider), np.uint64).reshape(-1, 2 * w)
+        at[w] = np.concatenate([x, y[:, :w] ^ y[:, w:]])
+        place[w] = np.zeros(len(words), np.int64)
+        place[w][np.concatenate([own, wider])] = np.arange(len(own) + len(wider))
+    part = np.arange(len(lead))
+    left, step = np.arange(len(lead) - 1), 0
+    while len(left):
+        step += 1
+        left = left[left + step < len(lead)]
+        # sizes ascend within a lead: who is too far from the next row is too far from all later ones
+        left = left[(lead[left] == lead[left + step]) & (size[left] >= size[left + step] * similarity - 1e-9)]
+        i = left[part[left] != part[left + step]]
+        near = np.zeros(len(i), bool)
+        for w in np.unique(words[i]).tolist():
+            # alike sizes are a doubling of width apart at most; others are not told apart here
+            one = np.flatnonzero((words[i] == w) & (words[i + step] <= 2 * w))
+            for some in np.array_split(one, max(1, len(one) * w >> 17)):
+                a, b = i[some], i[some] + step
+                apart = np.bitwise_count(at[w][place[w][a]] ^ at[w][place[w][b]]).sum(1, dtype=np.int64)
+                near[some] = apart <= (size[a] + size[b]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        near |= words[i + step] > 2 * words[i]
+        a, b = i[near], i[near] + step
+        while len(a):
+            np.minimum.at(part, np.maximum(part[a], part[b]), np.minimum(part[a], part[b]))
+            while (part != part[part]).any():
+                part = part[part]
+            open_ = part[a] != part[b]
+            a, b = a[open_], b[open_]
+    out = np.empty(len(order), np.int64)
+    out[order] = order[part]
+    return out
+
+
+def _near_in_bits(members: DataFrame, docs: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(lead, node, size), distinct, of the members that may be alike to others by their bitmaps, by the least of those that hang together; very large groups stay as they are."""
+    weight = members.groupBy("lead").agg(F.sum("size").alias("weight"))
+    total = weight.where(F.col("weight") <= FILTERED).agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    calls = max(partitions(docs.sparkSession), -(-total // FILTERED))
+    placed = members.join(weight, "lead")
+    schema = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("bits", pa.binary())])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, sets in _new_sets(batches, k):
+            own = [i for i, s in enumerate(sets) if len(s) <= FILTERED]
+            yield table(schema, [_node(names[i]) for i in own], [len(sets[i]) for i in own], [parity(sets[i]) for i in own])
+
+    def regrouped(rows: pa.Table) -> pa.Table:
+        lead, node, size = (rows.column(c).to_numpy() for c in ("lead", "node", "size"))
+        part = maybe_alike(lead, size.astype(np.int64), rows.column("bits").to_pylist(), similarity)
+        kept = np.flatnonzero(np.bincount(part, minlength=len(part))[part] > 1)
+        least = np.full(len(part), np.iinfo(np.int64).max)
+        np.minimum.at(least, part, node)
+        return pa.table({"lead": pa.array(least[part][kept], pa.int64()), "node": pa.array(node[kept], pa.int64()), "size": pa.array(size[kept], pa.int32())})
+
+    of = docs.select("text").mapInArrow(bits, "node long, size int, bits binary").distinct()
+    small = placed.where(F.col("weight") <= FILTERED).select("lead", "node").join(of, "node")
+    call = F.pmod(F.xxhash64("lead"), F.lit(calls)).cast("int")
+    small = small.withColumn("call", call).repartition(calls, "call").groupBy("call").applyInArrow(regrouped, "lead long, node long, size int")
+    return placed.where(F.col("weight") > FILTERED).select("lead", "node", "size").union(small).groupBy("lead", "node").agg(F.max("size").alias("size"))
+
+
+def members_of_groups(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, most: int = COMMON) -> DataFrame:
+    """(lead, node, size): the groups whose members' whole sets are tested."""
+    spark = docs.sparkSession
+    found, found_in = groups(docs, similarity, k, most)
+    release(spark)
+    near, near_in = stored(_near_in_size(found, similarity), "groups")
+    remove_folder(spark, found_in)
+    members = checkpointed(_near_in_bits(near, docs, similarity, k))
+    remove_folder(spark, near_in)
+    release(spark)
+    return members
+
+
 def tested(part: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """(i, j) of alike sets, enough of them to join all parts that alike sets join; ``part`` numbers those that are joined already."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -273,7 +375,7 @@ def _links(members: DataFrame, similarity: float, shingles: int) -> DataFrame:
 def copy_parts(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, most: int = COMMON) -> DataFrame:
     """(node, root) names of the sets that are joined to others."""
     spark = docs.sparkSession
-    members = checkpointed(_near_in_size(groups(docs, similarity, k, most), similarity))
+    members = members_of_groups(docs, similarity, k, most)
     ids = checkpointed(members.select("node").distinct())
     if ids.count() * 32 <= BROADCAST_BYTES:
         ids = F.broadcast(ids)  # counted: one number a text; beyond that, sets are shuffled to their ids

@@ -110,3 +110,47 @@ def test_tested():
     for i, j in itertools.combinations(range(60), 2):
         both = len(np.intersect1d(sets[i], sets[j]))
         assert part[i] == part[j] or both / (len(sets[i]) + len(sets[j]) - both) < 0.6
+
+
+def test_bitmaps_keep_alike_sets_together():
+    """Alike sets of any sizes and widths hang together; unlike ones, and sets of other leads, do not."""
+    r = np.random.default_rng(2)
+    sets, lead = [], []
+    for g in range(40):
+        base = np.unique(r.integers(0, 1 << 63, int(r.integers(1, 700))).astype(np.uint64))
+        for _ in range(4):
+            other = r.integers(0, 1 << 63, int(r.integers(0, 1 + len(base) // 7))).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([base[len(other) // 2 :], other])))
+            lead.append(g % 3)
+    part = near_copies.maybe_alike(np.array(lead), np.array([len(s) for s in sets]), [near_copies.parity(s) for s in sets], 0.8)
+    alike = 0
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if lead[i] != lead[j]:
+            assert part[i] != part[j]
+        elif both and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+            assert part[i] == part[j]
+            alike += 1
+        elif not both and min(len(sets[i]), len(sets[j])) > 60:
+            assert part[i] != part[j]
+    assert alike > 50
+
+
+def test_unlike_texts_are_not_sent(spark):
+    """Of texts that share a passage, without a list of common shingles, only near copies are tested, and in one group."""
+    words = [f"p{i}" for i in range(60)]
+    texts = [" ".join([f"a{t}x{i}" for i in range(40)] + words + [f"b{t}x{i}" for i in range(40)]) for t in range(30)]
+    texts += [texts[7] + " more", texts[7] + " still more"]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = near_copies.members_of_groups(df, most=0).collect()
+    nodes = {near_copies._node(near_copies.name_of(near_copies.shingle_sets([texts[i].encode()])[0])) for i in (7, 30, 31)}
+    assert sorted((m["lead"], m["node"]) for m in got) == sorted((min(nodes), n) for n in nodes)
+    assert [c for i, c in rows(near_copies.near_copies(df, most=0), "doc_id", "component_id") if i in (7, 30, 31)] == [7, 7, 7]
+
+
+def test_groups_too_large_for_bitmaps(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "FILTERED", 2000)
+    monkeypatch.setattr(near_copies, "GROUP", 500)
+    texts = corpus(9)
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    assert dict(rows(near_copies.near_copies(df, most=40), "doc_id", "component_id")) == dict(enumerate(plain_parts(texts)))
