@@ -443,10 +443,24 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGL
     return joined_by_key(rows, sets.join(first, "part").select("name", "component_id"), "name").select("doc_id", "component_id")
 
 
-def keep_first(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, most: int = COMMON) -> DataFrame:
-    """``docs`` with one row of each group of near copies: that with the smallest doc_id (nulls last), of equal ids the smallest key."""
+def _with_parts(linked: DataFrame, rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """``linked`` names, with those of rows that share a part of ``joined`` (key, part) linked too."""
+    held = checkpointed(rows.select("key", "name").distinct().join(joined.distinct(), "key").select("name", "part").distinct())
+    first = held.groupBy("part").agg(F.min("name").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("part", "first")
+    more = joined_by_key(held, first, "part").where("name > first").select(F.col("name").alias("a"), F.col("first").alias("b"))
+    return components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more).distinct())
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE, most: int = COMMON, joined: DataFrame | None = None) -> DataFrame:
+    """``docs`` with one row of each group of near copies: that with the smallest doc_id (nulls last), of equal ids the smallest key.
+
+    Rows that ``joined`` (key as ``row_key`` gives it, part) puts in one part
+    count as near copies too; groups are what both kinds of links reach.
+    """
     rows = _named(docs, k)
     linked = copy_parts(docs, similarity, k, most)
+    if joined is not None:
+        linked = _with_parts(linked, rows, joined)
     # rows meet as minima by set, and sets by group, so that a group of any size gathers nowhere
     sets = rows.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
     sets = sets.join(linked, F.col("name") == F.col("node"), "left").withColumn("part", F.coalesce("root", "name"))

@@ -231,15 +231,16 @@ def keep_first(docs: DataFrame, similarity: float | None = None) -> DataFrame:
     """One row of each component: that with the smallest doc_id, nulls last; of equal ids, that with the smallest text hash.
 
     Without ``similarity``, components are those of ``near_duplicates``.  With
-    it they are those of texts whose five-word shingles have that Jaccard
-    likeness, which differ in far more bits than a BK-tree can search:
-    ``near_copies`` finds them.
+    it, texts whose five-word shingles have that Jaccard likeness are linked
+    too; most of them differ in more bits than a BK-tree can search, and
+    ``near_copies`` finds them.  Components are what both kinds of links
+    reach.
     """
-    if similarity is not None:
-        return near_copies.keep_first(docs, similarity)
     key = unused("key", docs)
     rows = docs.withColumn(key, row_key())
     found = checkpointed(near_duplicates(rows.select(F.struct("doc_id", key).alias("doc_id"), "text")))
+    if similarity is not None:
+        return near_copies.keep_first(docs, similarity, joined=found.select(F.col(f"doc_id.{key}").alias("key"), F.col(f"component_id.{key}").alias("part")))
     order = lambda c: F.struct(F.col(f"{c}.doc_id").isNull().alias("none"), F.col(c).alias("row"))
     first = found.groupBy("component_id").agg(F.min(order("doc_id")).alias("first")).select(F.col(f"first.row.{key}").alias(key))
     return rows.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)

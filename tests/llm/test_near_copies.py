@@ -154,3 +154,26 @@ def test_groups_too_large_for_bitmaps(spark, monkeypatch):
     texts = corpus(9)
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
     assert dict(rows(near_copies.near_copies(df, most=40), "doc_id", "component_id")) == dict(enumerate(plain_parts(texts)))
+
+
+def test_fingerprints_link_too(spark):
+    """With a likeness, what fingerprints within two bits link goes as well, and links of both kinds make one group."""
+    r = random.Random(8)
+    word = lambda n: [f"{r.choice('bcdfg')}{r.randrange(10**6)}" for _ in range(n)]
+    often = "again and again " * 2000
+    far = [f"{often}{' '.join(word(60))}" for _ in range(3)]  # repeats decide the fingerprint, the likeness is small
+    tail = far[1].split()
+    chain = " ".join(tail[:-1])  # alike to far[1]
+    other = [" ".join(word(80)) for _ in range(4)]
+    texts = [*other, *far, chain]
+    prints = simhash.fingerprints([t.encode() for t in texts]).tolist()
+    near = {(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if (prints[i] ^ prints[j]).bit_count() <= 2}
+    jaccard = plain_parts(texts)
+    assert {(4, 5), (4, 6), (5, 6)} <= near and jaccard == [0, 1, 2, 3, 4, 5, 6, 5]
+    want = list(jaccard)
+    for _ in texts:
+        for i, j in near:
+            want = [min(want[i], want[j]) if p in (want[i], want[j]) else p for p in want]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    assert sorted(r["doc_id"] for r in simhash.keep_first(df, 0.8).collect()) == sorted(set(want)) == [0, 1, 2, 3, 4]
+    assert sorted(r["doc_id"] for r in near_copies.keep_first(df).collect()) == [0, 1, 2, 3, 4, 5, 6]
