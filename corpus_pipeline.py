@@ -2,8 +2,10 @@
 
 1. toxicity: documents scored 0.5 or more go.
 2. line dedup: lines found in ten documents or more go from every document.
-3. SimHash near-dedup: of each group of near copies (five-word shingles, a
-   Jaccard likeness of 0.8 or more) the smallest doc_id stays.
+3. SimHash near-dedup: of each group of near copies the smallest doc_id stays.
+   Texts are linked if their fingerprints differ in two bits or fewer, as
+   BK-trees find them, or if their five-word shingles have a Jaccard likeness
+   of 0.8 or more, which most such fingerprints cannot show.
 4. decontamination: documents that hold a benchmark window go.
 5. BPE: the rest as token ids.
 
