@@ -278,7 +278,7 @@ def bulk_changes(t):
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey BETWEEN 20 AND 40")
 def clustered_lookup(t):
     to = scratch(t.spark)
-    write_clustered(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), to, ["l_partkey"], files=4)
+    write_clustered(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey"), to, ["l_partkey"])
     return Query(t.spark.read.parquet(to)).where_range("l_partkey", 20, 40).project("l_orderkey", "l_linenumber")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions import exprs as E
 from quern.operators import dml
 from quern.plans.profile import Profiler
+from quern.queries import QUERIES
 from quern.shell import Shell
 from quern.sources.store import Conflict, Store, write_clustered
 
@@ -78,6 +79,31 @@ def test_layout_and_profile(spark, store, tmp_path):
     assert p.statistics()["count"] == 2 and p.slow()[0][2] == 9 and p.advice() == ["id"]
 
 
+def test_clustered_files_go_by_rows(spark, tmp_path, monkeypatch):
+    """No file, and so no task, has many more rows than another as the table grows, even if one value has most of the rows."""
+    monkeypatch.setattr("quern.sources.store.FILE_ROWS", 1000, raising=False)
+    spark.range(10_000).selectExpr("id", "id % 7 AS n").write.parquet(f"{tmp_path}/even")
+    spark.range(10_000).selectExpr("if(id < 9000, 5, id) AS id", "id AS n", "map(id, id) AS m").write.parquet(f"{tmp_path}/common")
+    for name in ("even", "common"):
+        df = spark.read.parquet(f"{tmp_path}/{name}")
+        write_clustered(df, f"{tmp_path}/{name}-c", ["id"])
+        out = spark.read.parquet(f"{tmp_path}/{name}-c")
+        assert sorted(out.select("id", "n").collect()) == sorted(df.select("id", "n").collect())
+        files = sorted((r["low"], r["high"], r["rows"]) for r in out.groupBy(F.input_file_name()).agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("id").alias("rows")).collect())
+        assert len(files) == 10 and max(f[2] for f in files) < 2500
+        assert all(a[1] <= b[0] for a, b in zip(files, files[1:]))
+    write_clustered(spark.range(0), f"{tmp_path}/none", ["id"])
+    assert spark.read.parquet(f"{tmp_path}/none").count() == 0
+
+
+def test_clustered_lookup_by_size(spark, tmp_path, monkeypatch):
+    """The query's files too go by the rows."""
+    monkeypatch.setattr("quern.sources.store.FILE_ROWS", 1000, raising=False)
+    spark.range(8000).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id % 200 AS l_partkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = QUERIES["clustered_lookup"](spark, str(tmp_path))
+    assert len(out.inputFiles()) == 8 and sorted(r["l_orderkey"] for r in out.collect()) == [i for i in range(8000) if 20 <= i % 200 <= 40]
+
+
 def test_times_as_numbers(spark):
     row = spark.sql("select timestamp_ntz'2001-01-01 00:00:10' t, 10.0d n, 2 b").select(E.seconds_since_2001("t").alias("s"), E.same_time("t", E.time_since_2001("n")).alias("e"), E.truth("b").alias("b")).first()
     assert tuple(row) == (10.0, True, True)
